@@ -82,7 +82,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 20_000, fan_
     out = PIECE.format(id=kind) + ", sequence_id bigint, offset bigint, open boolean"
 
     def packer(level: int):
-        def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values(["sequence_id", "offset", "doc_id", "piece", "ids_crc32"] if level else ["doc_id", "piece", "length", "ids_crc32"], ignore_index=True)
             lengths = group["length"].to_numpy()
             mine, offset = best_fit(lengths, capacity)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import default_vocabulary
 from .common import documents
 from .exact_dedup import exact_dedup
+from .jaccard import jaccard_components
 from .packing import pack_documents
 from .tokenize import round_trip
 
@@ -33,5 +34,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), default_vocabulary())
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_exact_dedup": op2_exact_dedup, "op8_bpe": op8_bpe}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir), words=3, num=90, den=100)
+
+
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_exact_dedup": op2_exact_dedup, "op8_bpe": op8_bpe, "op10_jaccard_join": op10_jaccard_join}
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
