@@ -102,8 +102,8 @@ class Rings:
     """Size rings and the number of slices in each, for ``den * intersection >= num * union``."""
 
     def __init__(self, num: int, den: int, ratio: float = 1.4):
-        if not 0.75 * den <= num <= den:
-            raise ValueError("the slices take a similarity of at least 0.75")
+        if not 0.8 * den <= num <= den:
+            raise ValueError("the slices take a similarity of at least 0.8")
         self.num, self.den, self.edges, self.ratio = num, den, [1], ratio
 
     def of(self, n: int) -> int:
@@ -121,12 +121,13 @@ class Rings:
         while len(self.edges) <= ring + 1:
             self.of(self.edges[-1])
         most, least = self.edges[ring + 1] - 1, max(1, -(-self.edges[ring] * self.num // self.den))
-        differ, spare = 2 * most * (self.den - self.num) // (self.den + self.num), 0
-        while True:  # so many that a set of the least size nearly always fills more than ``differ`` slices
+        differ = 2 * most * (self.den - self.num) // (self.den + self.num)
+        for spare in range(2 * differ + 1):  # so many that a set of the least size nearly always fills more than ``differ``
             empty = (differ + 1 + spare) * math.exp(-least / (differ + 1 + spare))
             if empty < 0.05 or empty + 2 * math.sqrt(empty) <= spare:
                 break
-            spare += 1
+        else:
+            spare = 0
         return differ + 1 + spare, spare
 
 
