@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary
 from .common import documents
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .packing import pack_documents
+from .secrets import digest, scan_secrets
 from .tokenize import round_trip
+from .toxicity import held_out, score_documents, train_on
+from .warc import archive_round_trip
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,13 +34,38 @@ FROM d
 """
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan_secrets(documents(spark, sf_dir)))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), default_vocabulary())
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).select(*columns)
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM g
+"""
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = score_documents(docs, train_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), words=3, num=90, den=100)
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_exact_dedup": op2_exact_dedup, "op8_bpe": op8_bpe, "op10_jaccard_join": op10_jaccard_join}
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_exact_dedup": op2_exact_dedup, "op4_warc": op4_warc, "op6_secret_scan": op6_secret_scan, "op8_bpe": op8_bpe, "op9_toxicity": op9_toxicity, "op10_jaccard_join": op10_jaccard_join}
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL}
