@@ -1,0 +1,22 @@
+import re
+
+import corpus_pipeline
+
+
+def test_stages(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = spark.createDataFrame(stage(spark, docs, d).toPandas()) if name == "best_fit_packing" else stage(spark, docs, d)
+        if name != "best_fit_packing":
+            assert out.columns == columns
+            rows = out.collect()
+            assert 0 < len(rows) <= before
+            if name == "exact_dedup":
+                assert len({r.text.lower() for r in rows}) == len(rows)
+            if name == "secret_scan":
+                assert len(rows) == before and not any(re.search(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}", r.text) for r in rows)
+            docs, before = spark.createDataFrame(rows, docs.schema), len(rows)
+        else:
+            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()}

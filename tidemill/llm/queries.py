@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary
 from .common import documents
+from .embedding_dedup import near_duplicates
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .packing import pack_documents
@@ -34,6 +35,10 @@ FROM d
 """
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), limit=0.9)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_secrets(documents(spark, sf_dir)))
 
@@ -67,5 +72,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), words=3, num=90, den=100)
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_exact_dedup": op2_exact_dedup, "op4_warc": op4_warc, "op6_secret_scan": op6_secret_scan, "op8_bpe": op8_bpe, "op9_toxicity": op9_toxicity, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_exact_dedup": op2_exact_dedup, "op4_warc": op4_warc, "op5_embedding_dedup": op5_embedding_dedup, "op6_secret_scan": op6_secret_scan, "op8_bpe": op8_bpe, "op9_toxicity": op9_toxicity, "op10_jaccard_join": op10_jaccard_join}
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL}
