@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("series")
-BACK = BY.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-AHEAD = BY.orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+
+def whole():
+    return Window.partitionBy("series")
+
+
+def back():
+    """From the series' start to here."""
+    return whole().orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def ahead():
+    return whole().orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
 
 
 def missing_summary(long: DataFrame) -> DataFrame:
@@ -17,25 +26,25 @@ def missing_summary(long: DataFrame) -> DataFrame:
 def gap_islands(long: DataFrame) -> DataFrame:
     """Blocks of missing positions: start, end and length."""
     gaps = long.filter("y is null")
-    island = F.col("pos") - F.row_number().over(BY.orderBy("pos"))
+    island = F.col("pos") - F.row_number().over(whole().orderBy("pos"))
     return gaps.withColumn("island", island).groupBy("series", "island").agg(F.min("pos").alias("gap_start"), F.max("pos").alias("gap_end"), F.count("*").alias("gap_len")).drop("island")
 
 
 def locf(y: Column) -> Column:
     """Last value carried on; a leading gap takes the first observed value, an empty series 0."""
-    return F.coalesce(y, F.last(y, True).over(BACK), F.first(y, True).over(AHEAD), F.lit(0.0))
+    return F.coalesce(y, F.last(y, True).over(back()), F.first(y, True).over(ahead()), F.lit(0.0))
 
 
 def linear(y: Column) -> Column:
     """By position between the neighbours; edges are held, an empty series is 0."""
     spot = F.when(y.isNotNull(), F.struct(F.col("pos").alias("p"), y.alias("v")))
-    a, b = F.last(spot, True).over(BACK), F.first(spot, True).over(AHEAD)
+    a, b = F.last(spot, True).over(back()), F.first(spot, True).over(ahead())
     between = a["v"] + (b["v"] - a["v"]) * (F.col("pos") - a["p"]) / (b["p"] - a["p"])
     return F.coalesce(y, between, a["v"], b["v"], F.lit(0.0))
 
 
 def mean(y: Column) -> Column:
-    return F.coalesce(y, F.avg(y).over(BY), F.lit(0.0))
+    return F.coalesce(y, F.avg(y).over(whole()), F.lit(0.0))
 
 
 def zero(y: Column) -> Column:
@@ -66,5 +75,5 @@ def mask_pointwise(long: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     """Marks exactly round-half-even(ratio * n) positions of each series, whatever the partitioning."""
     if not 0 <= ratio <= 1:
         raise ValueError("ratio must be in [0, 1]")
-    rank = F.row_number().over(BY.orderBy(F.xxhash64(F.lit(seed), "series", "pos"), "pos"))
-    return long.withColumn("is_masked", rank <= F.bround(F.lit(ratio) * F.count("*").over(BY)))
+    rank = F.row_number().over(whole().orderBy(F.xxhash64(F.lit(seed), "series", "pos"), "pos"))
+    return long.withColumn("is_masked", rank <= F.bround(F.lit(ratio) * F.count("*").over(whole())))

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("series")
+
+def whole():
+    return Window.partitionBy("series")
 
 
 def standard_scale(long: DataFrame, eps: float = 1e-5) -> DataFrame:
-    centre, spread = F.coalesce(F.avg("y").over(BY), F.lit(0.0)), F.coalesce(F.stddev_pop("y").over(BY), F.lit(1.0))
+    centre, spread = F.coalesce(F.avg("y").over(whole()), F.lit(0.0)), F.coalesce(F.stddev_pop("y").over(whole()), F.lit(1.0))
     return long.withColumn("centre", centre).withColumn("spread", F.when(spread == 0, eps).otherwise(spread)).withColumn("scaled", (F.col("y") - F.col("centre")) / F.col("spread"))
 
 
 def minmax_scale(long: DataFrame) -> DataFrame:
-    low, high = F.min("y").over(BY), F.max("y").over(BY)
+    low, high = F.min("y").over(whole()), F.max("y").over(whole())
     return long.withColumn("scaled", (F.col("y") - low) / (high - low + 1e-8))
 
 
