@@ -45,7 +45,7 @@ def test_imputers_by_hand(spark):
     assert fill("linear") == [1.0, 1.0, 2.0, 3.0, 4.0, 4.0]
     assert fill("locf") == [1.0, 1.0, 1.0, 1.0, 4.0, 4.0]
     assert fill("mean") == [2.5, 1.0, 2.5, 2.5, 4.0, 2.5]
-    assert fill("seasonal", season=3) == [1.0, 1.0, 1.0, 1.0, 4.0, 1.0]
+    assert fill("seasonal", season=3) == [1.0, 1.0, 1.0, 1.0, 4.0, 4.0]
     assert [r.y_hat for r in missing.impute(long(spark, [None, None]), "linear").collect()] == [0.0, 0.0]
     with pytest.raises(ValueError):
         missing.impute(gaps, "other")
