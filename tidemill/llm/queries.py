@@ -10,6 +10,7 @@ from .common import documents
 from .embedding_dedup import near_duplicates
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
+from .language_model import quality, stupid_backoff, trusted_rows
 from .packing import pack_documents
 from .secrets import digest, scan_secrets
 from .tokenize import round_trip
@@ -43,10 +44,19 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_secrets(documents(spark, sf_dir)))
 
 
+def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stupid_backoff(documents(spark, sf_dir))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), default_vocabulary())
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality(docs, trusted_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), share=0.9)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).select(*columns)
@@ -72,5 +82,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), words=3, num=90, den=100)
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_exact_dedup": op2_exact_dedup, "op4_warc": op4_warc, "op5_embedding_dedup": op5_embedding_dedup, "op6_secret_scan": op6_secret_scan, "op8_bpe": op8_bpe, "op9_toxicity": op9_toxicity, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_exact_dedup": op2_exact_dedup, "op3_quality": op3_quality, "op4_warc": op4_warc, "op5_embedding_dedup": op5_embedding_dedup, "op6_secret_scan": op6_secret_scan, "op7_stupid_backoff": op7_stupid_backoff, "op8_bpe": op8_bpe, "op9_toxicity": op9_toxicity, "op10_jaccard_join": op10_jaccard_join}
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL}
