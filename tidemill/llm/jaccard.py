@@ -17,7 +17,8 @@ The regions are therefore built in three steps, each exact:
    Regions over ``block`` documents are joined block by block.
 
 Documents with equal sets are one class throughout.  Regions return a spanning forest of their links,
-never pairs.  Shingles are 64-bit hashes.
+never pairs.  Shingles are 64-bit hashes.  Cells travel once, packed by bucket (14 bytes each); their keys are cut
+to 47 bits and the bucket, and two that fall together only add a candidate.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ from .common import cut, sized
 from .components import components
 
 _U = np.uint64
+#: Cells that a task holds before it writes them, and about the shingles of a bucket of cells.
+FLUSH = 1 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd
 
 
@@ -150,6 +154,51 @@ def signatures(shingles: np.ndarray, rings: Rings) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
+def packed_cells(keys: np.ndarray, cls: np.ndarray, buckets: int, task: int) -> pa.RecordBatch:
+    """Cells of some documents as a row per bucket: salt 0 has each cell once (6 bytes: 47 bits of the key, and whether several
+    classes are in it) with its smallest class; a salt of the task's own has the other classes, so that hot cells spread."""
+    order = np.lexsort((cls, keys))
+    keys, cls = keys[order], cls[order]
+    new = np.append(True, (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1]))
+    keys, cls = keys[new], cls[new]
+    first = np.append(True, keys[1:] != keys[:-1])
+    several = np.diff(np.flatnonzero(np.append(first, True))) > 1
+    out = []
+    for salt, chosen, flag in ((0, first, several.astype(_U)), (task, ~first, _U(0))):
+        k, c = keys[chosen], cls[chosen]
+        bucket = k % _U(buckets)
+        value = ((k // _U(buckets)) << _U(1) & _U((1 << 48) - 1)) | flag
+        order = np.argsort(bucket, kind="stable")
+        bucket, value, c = bucket[order], value[order], c[order]
+        at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
+        raw = value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        for i, j in zip(at.tolist(), [*at[1:].tolist(), len(bucket)]):
+            out.append((int(bucket[i]), salt, raw[i:j].tobytes(), c[i:j].tobytes()))
+    columns = list(zip(*out))
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["bucket", "salt", "cells", "classes"])
+
+
+def shared_cells(bucket: int, salt: int, cells: bytes, classes: bytes, buckets: int) -> pd.DataFrame:
+    """(cell, cls, pivot) of a bucket's cells with several classes; a row with cls = pivot for cells whose other classes
+    come under a task's salt, which have no pivot yet."""
+    cls = np.frombuffer(classes, np.int64)
+    value = np.zeros((len(cls), 8), np.uint8)
+    value[:, :6] = np.frombuffer(cells, np.uint8).reshape(-1, 6)
+    value = value.view("<u8").ravel()
+    cell = (value >> _U(1)) * _U(buckets) + _U(bucket)
+    if salt:
+        return pd.DataFrame({"cell": cell.view(np.int64), "cls": cls, "pivot": pd.array([None] * len(cls), "Int64")})
+    order = np.lexsort((cls, cell))
+    cell, cls, several = cell[order], cls[order], (value[order] & _U(1)).astype(bool)
+    start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    counts = np.diff(np.append(start, len(cell)))
+    pivot = np.repeat(cls[start], counts)
+    head = np.zeros(len(cell), bool)
+    head[start] = np.logical_or.reduceat(several, start)
+    keep = head | (cls != pivot)
+    return pd.DataFrame({"cell": cell[keep].view(np.int64), "cls": cls[keep], "pivot": pd.array(pivot[keep], "Int64")})
+
+
 def region_forest(cls: np.ndarray, size: np.ndarray, diffs: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning forest of the links in a region; with ``side`` (0 or 1), of those between the two sides.
 
@@ -206,15 +255,22 @@ def jaccard_components(
             )
 
     def cells(batches):
-        rings = Rings(num, den)
+        rings, task, waiting, held = Rings(num, den), TaskContext.get().partitionId() + 1, [], 0
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for k in range(0, len(texts), 500):
-                keys, cls = [], []
-                for s in (shingle_set(t, words) for t in texts[k : k + 500]):
-                    keys.append(signatures(s, rings))
-                    cls.append(np.full(len(keys[-1]), class_id(s) if len(s) else 0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(cls))], ["cell", "cls"])
+            for t in b.column(1).to_pylist():
+                s = shingle_set(t, words)
+                if len(s):
+                    keys = signatures(s, rings)
+                    waiting.append((keys, np.full(len(keys), class_id(s), np.int64)))
+                    held += len(keys)
+                if held >= FLUSH:
+                    yield packed_cells(*(np.concatenate(x) for x in zip(*waiting)), buckets, task)
+                    waiting, held = [], 0
+        if held:
+            yield packed_cells(*(np.concatenate(x) for x in zip(*waiting)), buckets, task)
+
+    def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return shared_cells(int(key[0]), int(key[1]), b"".join(group["cells"]), b"".join(group["classes"]), buckets)
 
     def sets_of(batches):
         for b in batches:
@@ -222,9 +278,13 @@ def jaccard_components(
             yield pa.RecordBatch.from_arrays([pa.array([c for _, c in found], pa.int64()), pa.array([s.view(np.int64) for s, _ in found], pa.list_(pa.int64()))], ["cls", "shingles"])
 
     members = cut(source.mapInArrow(describe, f"id {kind}, n_shingles bigint, cls bigint"), "jaccard-members")
-    cell_rows = source.mapInArrow(cells, "cell bigint, cls bigint")
-    shared = cut(cell_rows.groupBy("cell").agg(F.min("cls").alias("pivot"), F.max("cls").alias("_most")).filter("pivot <> _most").select("cell", "pivot"), "jaccard-cells")
-    regions = cut(cell_rows.join(sized(shared), "cell").filter("cls <> pivot").select("cls", "pivot").distinct(), "jaccard-regions")
+    total = members.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(1, total // FLUSH)
+    packed = source.mapInArrow(cells, "bucket bigint, salt int, cells binary, classes binary")
+    shared = cut(packed.groupBy("bucket", "salt").applyInPandas(meet, "cell bigint, cls bigint, pivot bigint"), "jaccard-cells")
+    heads = shared.filter("cls = pivot").select("cell", "pivot")
+    local = shared.filter("pivot is null").select("cell", "cls").join(sized(heads), "cell").select("cls", "pivot")
+    regions = cut(local.unionByName(shared.filter("cls <> pivot").select("cls", "pivot")).filter("cls <> pivot").distinct(), "jaccard-regions")
     wanted = regions.select("cls").union(regions.select(F.col("pivot"))).distinct()
     speakers = cut(members.join(wanted, "cls").groupBy("cls").agg(F.min("id").alias("_speaker")), "jaccard-speakers")
     sets = cut(source.join(sized(speakers), F.col("id").eqNullSafe(F.col("_speaker"))).select("text", "cls").mapInArrow(sets_of, "cls bigint, shingles array<bigint>"), "jaccard-sets")
