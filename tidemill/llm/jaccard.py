@@ -10,6 +10,7 @@ The regions are therefore built in three steps, each exact:
    more than d slices.  Linked documents agree on a whole slice that is not empty, so equal slices are a cell.
    (Slices empty in both are excused by spare slices; a document with too many empty ones is cut again by
    further, independent slicings until it has few enough, so no pair is lost.)
+   Parity sketches, whose distance is a lower bound, then drop documents without a possible partner in a cell's region.
 3. *Voronoi regions*: the smallest class in a cell is its pivot, and a document belongs to the regions of
    the pivots of all its cells.  A document is kept as its difference to the pivot, which gives every
    distance in the region: d(x, y) follows from the two differences and their overlap, pairs whose distances
@@ -199,6 +200,39 @@ def shared_cells(bucket: int, salt: int, cells: bytes, classes: bytes, buckets:
     return pd.DataFrame({"cell": cell[keep].view(np.int64), "cls": cls[keep], "pivot": pd.array(pivot[keep], "Int64")})
 
 
+def parity_sketch(shingles: np.ndarray) -> bytes:
+    """For each of 2^k >= 2n stretches of the hash space, the parity of the number of shingles in it, as bits.  Two sets
+    differ in at least as many shingles as their sketches differ in bits."""
+    k = max(6, (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles >> _U(64 - k)).astype(np.int64), minlength=1 << k) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(sketch: bytes, length: int) -> np.ndarray:
+    """A sketch of ``length`` bytes as words: neighbouring stretches are merged, parities add."""
+    bits = np.unpackbits(np.frombuffer(sketch, np.uint8)).reshape(length * 8, -1)
+    return np.packbits(np.bitwise_xor.reduce(bits, axis=1)).view(_U)
+
+
+def may_link(size: np.ndarray, sketches: list[bytes], num: int, den: int, side: np.ndarray | None = None) -> np.ndarray:
+    """Documents that their sketches allow a link to some other one; with ``side``, to one on the other side."""
+    length = min(len(x) for x in sketches)
+    table, hit = np.stack([folded(x, length) for x in sketches]), np.zeros(len(size), bool)
+    for x in range(len(size)):
+        if side is not None and side[x]:
+            continue
+        apart = np.maximum(np.bitwise_count(table ^ table[x]).sum(axis=1, dtype=np.int64), np.abs(size - size[x]))
+        union2 = size[x] + size + apart
+        near = den * (union2 - 2 * apart) >= num * union2
+        if side is not None:
+            near &= side == 1
+        near[x] = False
+        if near.any():
+            hit |= near
+            hit[x] = True
+    return hit
+
+
 def region_forest(cls: np.ndarray, size: np.ndarray, diffs: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning forest of the links in a region; with ``side`` (0 or 1), of those between the two sides.
 
@@ -272,6 +306,26 @@ def jaccard_components(
     def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return shared_cells(int(key[0]), int(key[1]), b"".join(group["cells"]), b"".join(group["classes"]), buckets)
 
+    def sketches_of(batches):
+        for b in batches:
+            found = [(c, len(s), parity_sketch(s)) for t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if class_id(s := shingle_set(t, words)) == c]
+            columns = list(zip(*found)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["cls", "size", "sketch"])
+
+    def prune(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = (int(k) for k in key)
+        group = group.drop_duplicates("cls")
+        hit = may_link(group["size"].to_numpy(), list(group["sketch"]), num, den, None if i == j else (group["own"].to_numpy() == j).astype(int))
+        return group.loc[hit, ["cls", "pivot"]]
+
+    def dealt_out(rows: DataFrame) -> DataFrame:
+        """Rows of a region to each pair (i, j) of its blocks that they take part in."""
+        own = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return own.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+
+    def in_blocks(pairs: DataFrame) -> DataFrame:
+        return pairs.join(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "pivot")
+
     def sets_of(batches):
         for b in batches:
             found = [(s, c) for t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if class_id(s := shingle_set(t, words)) == c]
@@ -287,19 +341,24 @@ def jaccard_components(
     regions = cut(local.unionByName(shared.filter("cls <> pivot").select("cls", "pivot")).filter("cls <> pivot").distinct(), "jaccard-regions")
     wanted = regions.select("cls").union(regions.select(F.col("pivot"))).distinct()
     speakers = cut(members.join(wanted, "cls").groupBy("cls").agg(F.min("id").alias("_speaker")), "jaccard-speakers")
-    sets = cut(source.join(sized(speakers), F.col("id").eqNullSafe(F.col("_speaker"))).select("text", "cls").mapInArrow(sets_of, "cls bigint, shingles array<bigint>"), "jaccard-sets")
+
+    def texts(chosen: DataFrame) -> DataFrame:
+        return source.join(sized(chosen), F.col("id").eqNullSafe(F.col("_speaker"))).select("text", "cls")
+
+    # Sketches drop the documents of a region that can't have a link in it, before their sets travel.
+    sketches = cut(texts(speakers).mapInArrow(sketches_of, "cls bigint, size bigint, sketch binary").dropDuplicates(["cls"]), "jaccard-sketches")
+    whole = regions.unionByName(regions.select("pivot").distinct().select(F.col("pivot").alias("cls"), "pivot"))
+    sketched = dealt_out(in_blocks(whole).join(sketches, "cls")).groupBy("pivot", "i", "j").applyInPandas(prune, "cls bigint, pivot bigint")
+    near = cut(in_blocks(sketched.filter("cls <> pivot").distinct()), "jaccard-near")
+    needed = near.select("cls").union(near.select("pivot")).distinct()
+    sets = cut(texts(cut(speakers.join(needed, "cls"), "jaccard-needed")).mapInArrow(sets_of, "cls bigint, shingles array<bigint>"), "jaccard-sets")
 
     pivots = sets.select(F.col("cls").alias("pivot"), F.col("shingles").alias("_of_pivot"))
-    rows = regions.join(sets, "cls").join(pivots, "pivot").select(
-        "pivot", "cls", F.size("shingles").cast("bigint").alias("size"), F.size("_of_pivot").cast("bigint").alias("pivot_size"),
+    rows = near.join(sets, "cls").join(pivots, "pivot").select(
+        "pivot", "blocks", "cls", F.size("shingles").cast("bigint").alias("size"), F.size("_of_pivot").cast("bigint").alias("pivot_size"),
         F.concat(F.array_except("shingles", "_of_pivot"), F.array_except("_of_pivot", "shingles")).alias("diff"),
     )
-    # Sizes that differ too much from every document of the region end here, by the triangle inequality.
-    rows = cut(rows, "jaccard-differences")
-    blocks = rows.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = rows.join(blocks, "pivot").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("pivot", "cls", "size", "pivot_size", "diff", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    dealt = dealt_out(rows)
 
     def join_region(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         pivot, i, j = (int(k) for k in key)
