@@ -7,33 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import forecast, leaderboard, missing, scaling, shape
 
-SEASON, HORIZON = 24, 24
-
-
-def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape.regularize(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "ts", "value")
-
-
-GRID = """WITH h AS (SELECT event_type AS series, date_trunc('hour', ts)::TIMESTAMP AS ts, avg(value) AS y FROM events GROUP BY 1, 2),
-b AS (SELECT series, min(ts) AS lo, max(ts) AS hi FROM h GROUP BY 1),
-s AS (SELECT series, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS ts FROM b),
-g AS (SELECT s.series, CAST(row_number() OVER (PARTITION BY s.series ORDER BY s.ts) - 1 AS INTEGER) AS pos, s.ts, h.y FROM s LEFT JOIN h USING (series, ts)),
-m AS (SELECT series, max(pos) + 1 AS n FROM g GROUP BY 1),
-f AS (SELECT series, pos, y, coalesce(y, last_value(y IGNORE NULLS) OVER (PARTITION BY series ORDER BY pos ROWS UNBOUNDED PRECEDING),
-  first_value(y IGNORE NULLS) OVER (PARTITION BY series ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0) AS y_hat FROM g)
-"""
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
-def split(long: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Context, and the last HORIZON positions as (series, step, y)."""
-    n = long.groupBy("series").agg((F.max("pos") + 1).alias("n"))
-    rows = long.join(n, "series")
-    cutoff = F.col("n") - HORIZON
-    return rows.filter(F.col("pos") < cutoff).drop("n"), rows.filter(F.col("pos") >= cutoff).select("series", (F.col("pos") - cutoff + 1).alias("step"), "y")
+from . import more
+from .common import GRID, HORIZON, SCORES, SEASON, grid, model_scores, rounded, split
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,16 +31,6 @@ SELECT series, round(avg(e * e), 6) AS mse, round(avg(e), 6) AS mae, round(sqrt(
 FROM e LEFT JOIN z USING (series) GROUP BY series"""
 
 
-def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean value (as a score) per event type and user group: a table of models over data sets."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    dataset = F.concat(F.lit("d"), F.pmod("user_id", F.lit(7)).cast("string"))
-    return events.groupBy(F.col("event_type").alias("model"), dataset.alias("dataset")).agg(F.round(F.avg("value"), 6).alias("score"))
-
-
-SCORES = "WITH sc AS (SELECT event_type AS model, concat('d', user_id % 7) AS dataset, round(avg(value), 6) AS score FROM events GROUP BY 1, 2)\n"
-
-
 def _fill(method: str, season: int | None = None):
     return lambda spark, d: rounded(missing.impute(grid(spark, d), method, season).select("series", "pos", "y_hat"))
 
@@ -137,3 +102,6 @@ g AS (SELECT model, exp(avg(ln(ratio))) AS gmean_ratio FROM n GROUP BY 1), k AS
 SELECT model, round(gmean_ratio, 6) AS gmean_ratio, round(avg_rank, 6) AS avg_rank FROM g LEFT JOIN k USING (model)""",
     "j9_win_rate": SCORES + "SELECT a.model, b.model AS other, round(100 * avg(CASE WHEN a.score < b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END), 6) AS win_rate FROM sc a JOIN sc b ON a.dataset = b.dataset GROUP BY 1, 2",
 }
+
+QUERIES |= more.QUERIES
+ORACLE_SQL |= more.ORACLE_SQL
