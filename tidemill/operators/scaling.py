@@ -22,3 +22,17 @@ def minmax_scale(long: DataFrame) -> DataFrame:
 
 def asinh_scale(long: DataFrame) -> DataFrame:
     return standard_scale(long).withColumn("scaled", F.asinh("scaled"))
+
+
+def masked_instance_scale(long: DataFrame, masked: bool = True, least: float = 1e-5) -> DataFrame:
+    """By mean and deviation of the positions that are not ``is_masked`` (population deviation), or of all (sample deviation); a
+    deviation of at most ``least`` counts as 1."""
+    value = F.when(~F.col("is_masked"), F.col("y")) if masked else F.col("y")
+    spread = (F.stddev_pop if masked else F.stddev_samp)(value).over(whole())
+    return long.withColumn("scaled", (F.col("y") - F.avg(value).over(whole())) / F.when(spread > least, spread).otherwise(1.0))
+
+
+def display_scale(rows: DataFrame, context: DataFrame, columns: list[str], eps: float = 1e-6) -> DataFrame:
+    """The named columns by mean and population deviation (plus ``eps``) of the series' context."""
+    stats = context.groupBy("series").agg(F.avg("y").alias("_m"), F.stddev_pop("y").alias("_s"))
+    return rows.join(stats, "series").withColumns({c: (F.col(c) - F.col("_m")) / (F.col("_s") + eps) for c in columns}).drop("_m", "_s")
