@@ -44,3 +44,41 @@ def test_recall(spark):
     rows = [(k, [float(np.float32(c)) for c in v]) for k, v in enumerate(np.concatenate([base, noisy]))]
     got, want = run(spark, rows), brute(rows)
     assert all(g[1] <= w[1] for g, w in zip(got, want)) and sum(g[1] for g in got) >= 0.97 * sum(w[1] for w in want)
+
+
+def table_brute(x, limit=0.9):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= limit
+    component = np.arange(len(x))
+    while (new := np.where(link, component, len(x)).min(1)).tolist() != component.tolist():
+        component = new
+    return sorted((str(k), int(link[k].sum()) - 1, str(component[k])) for k in range(len(x)))
+
+
+def planted(n, dim, pairs, seed):
+    """Unclustered unit vectors and near copies of some of them, each isolated, at cosines from 0.9 to 0.99."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=(pairs, dim))
+    y -= (y * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = rng.choice([0.91, 0.95, 0.99], pairs)[:, None]
+    return np.concatenate([x, c * x[:pairs] + np.sqrt(1 - c**2) * y]).astype(np.float32)
+
+
+def test_every_isolated_pair_is_found(spark):
+    for n, pairs in ((300, 50), (1500, 200), (4000, 1000)):
+        x = planted(n, 64, pairs, n)
+        assert run(spark, [(k, v.tolist()) for k, v in enumerate(x)]) == table_brute(x.astype(float))
+
+
+def test_small_blocks_and_parts_find_the_same(spark, monkeypatch):
+    from tidemill.llm import embedding_dedup
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    x = (centres[rng.integers(0, 12, 700)] + rng.normal(size=(700, 16)) * rng.choice([0.1, 0.4], (700, 1))).astype(np.float32)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 40 * 16)
+    monkeypatch.setattr(embedding_dedup, "PART", 150 * 16)
+    assert run(spark, [(k, v.tolist()) for k, v in enumerate(x)]) == table_brute(x.astype(float))
