@@ -82,3 +82,12 @@ def test_small_blocks_and_parts_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 40 * 16)
     monkeypatch.setattr(embedding_dedup, "PART", 150 * 16)
     assert run(spark, [(k, v.tolist()) for k, v in enumerate(x)]) == table_brute(x.astype(float))
+
+
+def test_both_ends_of_a_link_count_it(spark):
+    x = planted(2000, 64, 500, 2000)
+    got = near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    ends = {}
+    for r in got:
+        ends.setdefault(r.component_id, []).append(r.n_links)
+    assert all(n[0] == n[1] for n in ends.values() if len(n) == 2)
