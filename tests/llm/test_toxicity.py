@@ -33,3 +33,17 @@ def test_held_out_rows(spark):
     right = sum(p and y for p, y in seen)
     # Labels of this table are noisy: some toxic rows hold no word that others share.
     assert right / sum(p for p, _ in seen) > 0.85 and right / sum(y for _, y in seen) > 0.6
+
+
+def test_many_toxic_words_and_words_far_in_a_text():
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(4)) for _ in range(300)]
+    toxic = ["".join(rng.choice("hjklmnpqrstvwxz") for _ in range(10)) for _ in range(300)]
+    filler = lambda n: " ".join(rng.choice(plain) for _ in range(n))
+    rows = [(filler(40), 0) for _ in range(800)] + [(filler(40) + " " + " ".join(rng.sample(toxic, 6)), 1) for _ in range(700)]
+    rng.shuffle(rows)
+    model = toxicity.fit(rows)
+    assert sum(model.score(f"{filler(40)} {a} {b} {c}") >= 0.7 for a, b, c in zip(toxic[::3], toxic[1::3], toxic[2::3])) >= 97
+    assert all(model.score(filler(40)) < 0.7 for _ in range(50))
+    far = [(filler(2400) + (" wretchedness vileness" if k % 5 == 0 else ""), int(k % 5 == 0)) for k in range(100)]
+    assert toxicity.fit(far).score(filler(2400) + " wretchedness vileness") >= 0.7

@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Bounds of the training sample: rows of each label, and code points read of each training text.
-TOXIC_ROWS, ORDINARY_ROWS, TRAIN_CHARS = 1500, 4000, 20_000
+#: Bounds of the training sample: rows of each label, read whole.
+TOXIC_ROWS, ORDINARY_ROWS = 1500, 4000
+#: The toxic dictionary starts at TOXIC_BYTES and is doubled until it holds all windows that may be evidence.
 ORDINARY_BYTES, TOXIC_BYTES, SAMPLE_WINDOWS = 131_072, 2_048, 600_000
 #: Bytes saved from which a window counts, and a level that finds every window of a dictionary (lower ones lose some).
 SAVED, LEVEL = 4, 12
-#: Windows of toxic training texts count from this share of them (and three texts) on: what is in one text only can't be learned.
-LEAST_SHARE = 0.01
+#: Windows of toxic training texts count from this many of them on: what is in one text only can't be learned.
+LEAST_TEXTS = 3
 REMEMBERED = 400_000
 
 
@@ -108,8 +109,8 @@ class Model:
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
-    """Dictionaries from three quarters of the rows, the threshold from the rest (from all if it has few toxic)."""
-    rows = [(t[:TRAIN_CHARS], y) for t, y in rows]
+    """Dictionaries from three quarters of the rows, the threshold and the toxic dictionary's size from the rest (from all if it
+    has few toxic): of the doubled sizes up to one that holds every window, the best by F1 and then the smallest."""
     fitting, rest = [r for k, r in enumerate(rows) if k % 4], rows[::4]
     if sum(y for _, y in rest) < 5:
         fitting = rest = rows
@@ -134,16 +135,22 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         return new[w]
 
     texts_with = Counter(w for x in toxic for w in x)
-    enough = max(3, math.ceil(LEAST_SHARE * len(toxic)))
-    model = Model(plain, train(sample(toxic, lambda w: texts_with[w] >= enough and is_new(w)), TOXIC_BYTES) or b"\0" * 16, 1)
-    hit = {w for w in {w for x in toxic for w in x} if model.saved(w) >= SAVED}
-    in_toxic = Counter(w for x in toxic for w in x if w in hit)
-    in_plain = Counter(w for x in ordinary for w in x if w in hit)
-    shared = sorted(w for w, k in in_plain.items() if 4 * k * len(toxic) >= in_toxic[w] * len(ordinary))
-    model = Model(plain + b"".join(map(code, shared)), model.toxic, 1)
-    seen = [(model.evidence(t), y) for t, y in rest]
-    f1 = lambda k: 2 * sum(y for e, y in seen if e >= k) / (sum(e >= k for e, _ in seen) + sum(y for _, y in seen))
-    return Model(model.ordinary, model.toxic, max(range(1, 9), key=lambda k: (f1(k), -k)))
+    codes = sample(toxic, lambda w: texts_with[w] >= LEAST_TEXTS and is_new(w))
+    in_toxic, in_plain = texts_with, Counter(w for x in ordinary for w in x if w in texts_with)
+    best, size = None, TOXIC_BYTES
+    while True:
+        model = Model(plain, train(codes, size) or b"\0" * 16, 1)
+        hit = {w for w in texts_with if model.saved(w) >= SAVED}
+        shared = sorted(w for w in hit if in_plain[w] and 4 * in_plain[w] * len(toxic) >= in_toxic[w] * len(ordinary))
+        model = Model(plain + b"".join(map(code, shared)), model.toxic, 1)
+        seen = [(model.evidence(t), y) for t, y in rest]
+        f1 = lambda k: 2 * sum(y for e, y in seen if e >= k) / (sum(e >= k for e, _ in seen) + sum(y for _, y in seen))  # noqa: E731, B023
+        k = max(range(1, 9), key=lambda k: (f1(k), -k))
+        if best is None or f1(k) > best[0]:
+            best = f1(k), Model(model.ordinary, model.toxic, k)
+        if size >= 16 * len(set(codes)):
+            return best[1]
+        size *= 2
 
 
 def held_out(id_col: str):
@@ -157,7 +164,7 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     parts = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS))]
     chosen = cut(parts[0].unionByName(parts[1]), "toxicity-sample")
-    texts = docs.select(F.col(id_col).alias("id"), F.substring(text_col, 1, TRAIN_CHARS).alias("text")).filter("text is not null")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "y").collect()
     return fit([(r.text, r.y) for r in sorted(rows, key=lambda r: (hashlib.md5(str(r.id).encode()).digest(), r.text))])
 
