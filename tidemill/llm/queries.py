@@ -45,7 +45,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stupid_backoff(documents(spark, sf_dir), order=3)
+    return stupid_backoff(documents(spark, sf_dir), order=2)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
