@@ -39,8 +39,23 @@ def test_encode_any(text):
 
 def test_every_cut_pair_is_in_no_token():
     b = bpe.load(VOCABULARY)
-    assert b.cuts_at_space and b.inside[ord("t"), ord("h")] and not b.inside[ord("t"), ord(" ")]
-    assert [x for x in range(256) if b.inside[x, 32]] == [0xA0]
+    assert b.inside[ord("t"), ord("h")] and not b.cut[ord("t"), ord("h")]
+    pairs = [(x, y) for x in range(256) for y in range(256) if b.cut[x, y]]
+    assert len(pairs) > 10_000 and not any(b.inside[x, y] for x, y in pairs if y != 32)
+    assert b.cut[ord("t"), 32] and not b.cut[32, ord("t")] and not any(b.cut[x, ord("'")] for x in range(256))
+
+
+def test_texts_are_cut_inside_words():
+    b = bpe.load(VOCABULARY)
+    text = "".join(chr(x) + chr(y) + " " for x in range(33, 127) for y in range(33, 127))
+    inside = [k for k in b.cuts(text.encode(), text) if text[k] != " "]
+    assert len(inside) > 1000 and b.encode(text).tolist() == library_ids(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["qz", "zx", "~", "'s", "'", "'ll", "é", "漢", " ", "  ", "\n", "\xa0", "\u3000", "Q7", "7q", "!", "#", "’", "👍", "re", "ß"]), max_size=30).map("".join))
+def test_encode_fragments(text):
+    assert bpe.load(VOCABULARY).encode(text).tolist() == library_ids(text)
 
 
 def test_documents(spark):

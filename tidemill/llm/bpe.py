@@ -1,12 +1,16 @@
 """Byte-level BPE by forced boundaries.
 
-A byte pair that occurs inside no token of the vocabulary can never end up inside one token, so a text
-may be cut between the two bytes and the fragments encoded on their own.  The cuts used here are those
-before a space that follows a character other than white space: the vocabulary is checked to hold no token
-with such a pair (the byte A0 before a space occurs only as the end of a no-break space), and the
-tokenizer's own word pattern starts a new word there too, whatever follows.  Other pairs that no token
-holds are no certain cuts, as the word pattern may look across them.  Fragments repeat a lot, so each
-Python worker keeps the ids of the fragments that it has met (a bounded table).
+A byte pair that occurs inside no token of the vocabulary can never end up inside one token, so a text may be cut between
+the two bytes, and the fragments are encoded on their own and their ids joined.  The tokenizer first splits a text into
+words by a pattern, which must find the same words in the fragments; therefore
+
+* a cut is made only between whole characters, and never after white space (a word may begin with a space, and the
+  pattern looks ahead at the end of a run of white space),
+* never before an apostrophe (at the beginning of a fragment it could open a contraction that is none in the text),
+* before white space that follows another character a word always ends, so a cut before a space there needs no proof by pairs.
+
+Everywhere else the pattern's words are runs of one class of characters, which a cut only shortens.  Fragments repeat a
+lot, so each Python worker keeps the ids of the fragments that it has met (a bounded table).
 """
 
 from __future__ import annotations
@@ -17,9 +21,12 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Fragments a worker remembers (about 150 MB); further ones are encoded each time.
-REMEMBERED = 500_000
-_SPACE_AFTER_SPACE = re.compile(r"\s ")
+#: Fragments of up to 24 bytes that a worker remembers (about 40 MB); others are encoded each time.
+REMEMBERED, LONGEST = 150_000, 24
+#: White space beyond ASCII, as the word pattern or Python knows it.
+_WIDE_SPACE = re.compile(r"[^\S\x00-\x7f]")
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[[*range(9, 14), *range(28, 33)]] = True
 
 
 def byte_letters() -> dict[str, int]:
@@ -30,14 +37,14 @@ def byte_letters() -> dict[str, int]:
 
 
 class Fragments(dict):
-    """Fragment (without its leading space) -> its ids as little-endian 32-bit numbers."""
+    """Fragment (bytes) -> its ids as little-endian 32-bit numbers."""
 
     def __init__(self, encode):
         self.encode = encode
 
-    def __missing__(self, fragment: str) -> bytes:
-        ids = np.array(self.encode(" " + fragment), "<u4").tobytes()
-        if len(self) < REMEMBERED:
+    def __missing__(self, fragment: bytes) -> bytes:
+        ids = np.array(self.encode(fragment.decode()), "<u4").tobytes()
+        if len(self) < REMEMBERED and len(fragment) <= LONGEST:
             self[fragment] = ids
         return ids
 
@@ -61,9 +68,15 @@ class ForcedBoundaryBPE:
         for token in ranks:
             b = np.frombuffer(token, np.uint8)
             self.inside[b[:-1], b[1:]] = True
-        # Bytes met before a space inside a token, unless they end a white-space character there.
-        held = {t[: k] for t in ranks for k in range(1, len(t)) if t[k] == 32}
-        self.cuts_at_space = all(head.decode("utf-8", "ignore")[-1:].isspace() for head in held)
+        #: Pairs between which a text may be cut: never inside a token, or a space after another character.
+        self.cut = ~self.inside
+        self.cut[:, 32] = True
+        self.cut[_ASCII_SPACE] = False
+        self.cut[:, ord("'")] = False
+        self.cut[:, 128:192] = False  # inside a character
+        for ending in ("s", "t", "re", "ve", "m", "ll", "d"):  # nor inside a contraction, whatever the vocabulary
+            for x, y in zip("'" + ending, ending):
+                self.cut[ord(x), ord(y)] = False
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.encode_whole = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known = Fragments(self.encode_whole)
@@ -76,20 +89,22 @@ class ForcedBoundaryBPE:
         self.token_at = np.concatenate([[0], np.cumsum(self.token_len)])[:-1]
         self.letters = np.frombuffer(b"".join(token_bytes), np.uint8)
 
+    def cuts(self, raw: bytes, text: str) -> np.ndarray:
+        """Places in the UTF-8 bytes ``raw`` of ``text`` where it may be cut."""
+        b = np.frombuffer(raw, np.uint8)
+        forced = self.cut[b[:-1], b[1:]]
+        if len(raw) != len(text):
+            wide = [space.end() for space in _WIDE_SPACE.finditer(text)]
+            if wide:
+                begin = np.append(np.flatnonzero((b & 0xC0) != 0x80), len(b))
+                after = begin[wide]
+                forced[after[after < len(b)] - 1] = False
+        return np.flatnonzero(forced) + 1
+
     def _ordinary(self, text: str) -> bytes:
-        if not self.cuts_at_space:
-            return np.array(self.encode_whole(text), "<u4").tobytes()
-        parts = text.split(" ")
-        if _SPACE_AFTER_SPACE.search(text) or not parts[-1]:
-            joined = [parts[0]]
-            for part in parts[1:]:  # a space within or at the end of a run of white space is no certain cut
-                if not joined[-1] or joined[-1][-1].isspace():
-                    joined[-1] += " " + part
-                else:
-                    joined.append(part)
-            parts = joined
-        first = np.array(self.encode_whole(parts[0]), "<u4").tobytes() if parts[0] else b""
-        return first + b"".join(map(self.known.__getitem__, parts[1:]))
+        raw = text.encode()
+        at = [0, *self.cuts(raw, text).tolist(), len(raw)]
+        return b"".join([self.known[raw[i:j]] for i, j in zip(at, at[1:])]) if raw else b""
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids of ``text`` as little-endian unsigned 32-bit numbers."""

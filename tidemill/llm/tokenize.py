@@ -39,7 +39,9 @@ def decode_documents(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id"
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode each whole text in one pass: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``."""
+    """Encode and decode each whole text in one pass: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
+    Null and empty texts have no tokens; repeated rows give a row each, an empty table none; ids of any kind, nulls too, are
+    handed through; other columns are not read."""
 
     def run(batches):
         bpe = load(vocabulary)
