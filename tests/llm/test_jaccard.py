@@ -106,7 +106,31 @@ def test_components(spark):
 
 def test_keep_one(spark):
     docs = spark.createDataFrame([(2, "a b c d e f", 1), (1, "A B c d e f", 1), (3, "other words here now for you", 1), (None, "a b c d e f", 1)], "doc_id long, text string, cls int")
-    assert sorted(str(r.doc_id) for r in jaccard.keep_one_per_component(docs).collect()) == ["1", "3", "None"]
+    assert sorted(str(r.doc_id) for r in jaccard.keep_one_per_component(docs).collect()) == ["1", "3"]
+    # An id with two texts loses only the near copy; of null ids one stays where there is no other.
+    rows = [(1, "a b c d e f"), (2, "A b c d e f"), (2, "clean words that nobody else has"), (None, "x y z u v w"), (None, "X y z u v w"), (None, None), (None, "")]
+    got = jaccard.keep_one_per_component(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, [got[0].__class__(doc_id=1, text=rows[0][1]), got[0].__class__(doc_id=2, text=rows[2][1]), got[0].__class__(doc_id=None, text=None), got[0].__class__(doc_id=None, text="")] + [r for r in got if r.text and r.text[1:] == " y z u v w"])) and len(got) == 5
+
+
+def test_large_regions_are_joined_round_by_round(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(200):  # a chain of copies that drift away from the first, so that regions have many outside
+        w = list(base)
+        for k in rng.sample(range(300), i // 8):
+            w[k] = f"z{i}-{k}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(jaccard, "ROUNDS", 3)
+    for block in (7, 40):
+        assert run(spark, rows, 3, 90, 100, block=block) == brute(rows, 3, 90, 100)
+
+
+def test_repeated_rows_cost_no_more_than_one(spark):
+    docs = spark.range(40_000).selectExpr("id % 2 as doc_id", "if(id % 2 = 0, 'a b c d e f g h i j k l m n o p q r s t', 'a b c d e f g h i j k l m n o p q r s u') as text")
+    got = jaccard.jaccard_components(docs, 3, 80, 100)
+    assert [tuple(r) for r in got.groupBy("component_id").count().collect()] == [(0, 40_000)]
 
 
 def test_op10_on_table(spark):

@@ -2,8 +2,9 @@
 
 Every row goes to a leaf run chosen by a hash of its id.  A run holds one line per text: digest,
 surviving id, number of rows.  In each round ``fan_in`` neighbouring runs meet and are merged by
-digest, so a text with any number of copies is at most one line per run and no task ever gathers a
-group.  The winner then walks back down the same tree, run by run, to the rows.
+digest into a longer sorted run, which is written, so a text with any number of copies is at most one line per run
+and no task ever gathers a group.  The winners of the last run go back to the leaf runs that hold
+their text, and from there to the rows.
 
 Equality is verified at every level: lines merge only if SHA-256, length in bytes and an independent
 64-bit hash of the normalised text all agree.
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, sized
+from .common import cut, lower_ascii, remove, sized
 
 KEY = ["digest", "octets", "check"]
 
@@ -30,42 +31,45 @@ def exact_dedup(
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty, so all null and empty
     texts are one group.  Of a group the row with the smallest (or ``keep="largest"``) id stays; a null
-    id stays only in a group without any other.  Rows that repeat both id and text are one document
-    (counted in ``group_size`` as often as they occur).  An empty table gives no rows.  Other columns are
+    id stays only in a group without any other.  Rows stay rows: those that repeat both id and text are
+    counted one by one and share their verdict.  An empty table gives no rows.  Other columns are
     not read, whatever their names.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep must be 'smallest' or 'largest'")
     best = F.min if keep == "smallest" else F.max
     text = normalised(text_col)
+    # Rows without an id are dealt out evenly; the table is written at once, so they stay where they are.
+    leaf = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(F.col(id_col)))
     rows = docs.select(
         F.col(id_col).alias("id"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(runs)).cast("int").alias("run"),
+        F.pmod(leaf, F.lit(runs)).cast("int").alias("run"),
         F.unhex(F.sha2(text, 256)).alias("digest"),
         F.octet_length(text).alias("octets"),
         F.xxhash64(text).alias("check"),
     )
-    rows = cut(rows.groupBy("id", "run", *KEY).agg(F.count("*").alias("rows")), "dedup-rows")
+    rows = cut(rows, "dedup-rows")
 
-    levels, n, level = [], runs, rows.groupBy("run", *KEY).agg(best("id").alias("keep_id"), F.sum("rows").alias("n"))
-    levels.append(level)
+    def run_of(lines: DataFrame, name: str) -> DataFrame:
+        return cut(lines.sortWithinPartitions("run", *KEY), name)
+
+    leaves = level = run_of(rows.groupBy("run", *KEY).agg(best("id").alias("keep_id"), F.count("*").alias("n")), "dedup-leaves")
+    n = runs
     while n > 1:
         n = -(-n // fan_in)
         up = F.floor(F.col("run") / fan_in).cast("int").alias("run")
-        level = level.groupBy(up, *KEY).agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-        levels.append(level)
-
-    winners = cut(levels[-1].filter("n > 1"), "dedup-winners")
-    for level in reversed(levels[:-1]):
-        above = winners.select(F.col("run").alias("up"), *KEY, F.col("keep_id").alias("best_id"), F.col("n").alias("size"))
-        below = level.select("run", *KEY, F.floor(F.col("run") / fan_in).cast("int").alias("up"))
-        winners = below.join(above, ["up", *KEY]).select("run", *KEY, F.col("best_id").alias("keep_id"), F.col("size").alias("n"))
-    found = winners.select("run", *KEY, F.col("keep_id").alias("best_id"), "n")
+        merged = run_of(level.groupBy(up, *KEY).agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n")), "dedup-run")
+        if level is not leaves:
+            remove(level)
+        level = merged
+
+    winners = level.filter("n > 1").select(*KEY, F.col("keep_id").alias("best_id"), "n")
+    found = leaves.select("run", *KEY).join(winners, KEY)
     keep_id = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("best_id"))
     return rows.join(found, ["run", *KEY], "left").select(
         F.col("id").alias(id_col),
         keep_id.alias("keep_id"),
-        F.coalesce("n", "rows").alias("group_size"),
+        F.coalesce("n", F.lit(1).cast("bigint")).alias("group_size"),
         F.col("id").eqNullSafe(keep_id).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
         F.col("check").alias("text_check"),

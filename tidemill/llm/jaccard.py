@@ -1,8 +1,8 @@
 """Exact Jaccard join of word-shingle sets in metric space.
 
 Jaccard distance is a metric, but unrelated documents all lie at distance 1 of each other and of any
-document taken as a pivot, so Voronoi cells of a few document pivots would have to be replicated whole.
-The regions are therefore built in three steps, each exact:
+document taken as a pivot, so Voronoi regions of a few document pivots would have to be replicated whole.
+Pivots are therefore found by cells, and regions join recursively around them, each step exact:
 
 1. *Rings* around the empty set: documents are dealt by set size, and those near a ring's edge are
    replicated to the next ring (for a link, sizes differ by the threshold at most).
@@ -10,13 +10,14 @@ The regions are therefore built in three steps, each exact:
    more than d slices.  Linked documents agree on a whole slice that is not empty, so equal slices are a cell.
    (Slices empty in both are excused by spare slices; a document with too many empty ones is cut again by
    further, independent slicings until it has few enough, so no pair is lost.)
-   Parity sketches, whose distance is a lower bound, then drop documents without a possible partner in a cell's region.
-3. *Voronoi regions*: the smallest class in a cell is its pivot, and a document belongs to the regions of
-   the pivots of all its cells.  A document is kept as its difference to the pivot, which gives every
-   distance in the region: d(x, y) follows from the two differences and their overlap, pairs whose distances
-   to the pivot rule a link in or out by the triangle inequality need no look at the shingles.
-   Regions over ``block`` documents are joined block by block.
-
+3. *Regions*: the smallest class in a cell is its pivot, and a document belongs to the regions of the pivots of all its
+   cells.  Documents within the threshold of the pivot are linked to it.  By the triangle inequality a document outside
+   can only link to those inside whose distance to the pivot is at most the threshold less than its own: this window is
+   replicated to the rest, the others are done.  A rest of more than ``block`` documents (or ``BLOCK_SHINGLES``) takes one of
+   its own as pivot and is joined so again; smaller ones are joined in one task, by their differences to the
+   pivot.  A rest that is large after ``ROUNDS`` rounds is joined block by block.
+
+Parity sketches, whose distance is a lower bound, drop documents without a possible partner before sets travel.
 Documents with equal sets are one class throughout.  Regions return a spanning forest of their links,
 never pairs.  Shingles are 64-bit hashes.  Cells travel once, packed by bucket (14 bytes each); their keys are cut
 to 47 bits and the bucket, and two that fall together only add a candidate.
@@ -35,12 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sized
+from .common import cut, remove, sized
 from .components import components
 
 _U = np.uint64
 #: Cells that a task holds before it writes them, and about the shingles of a bucket of cells.
 FLUSH = 1 << 20
+#: Rows of a task that are worked on at a time, shingles of a region that one task joins, rounds of smaller regions.
+SLICE, BLOCK_SHINGLES, ROUNDS = 1000, 2_000_000, 6
 _BASE = 0x9E3779B97F4A7C15  # odd
 
 
@@ -60,15 +63,23 @@ _powers = {"n": 0}
 
 
 def _power_tables(n: int):
-    """Powers of the base and of its inverse modulo 2^64, for at least ``n`` positions."""
-    if _powers["n"] < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, _U)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-        _powers["n"] = size
-    return _powers["up"], _powers["down"]
+    """Powers of the base and of its inverse modulo 2^64, for at least ``n`` positions; kept up to a size."""
+    if n <= _powers["n"]:
+        return _powers["up"], _powers["down"]
+    size, tables = max(1 << 16, 1 << (n - 1).bit_length()), []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(size, base, _U)
+        steps[0] = 1
+        tables.append(np.multiply.accumulate(steps))
+    if size <= 1 << 18:
+        _powers.update(n=size, up=tables[0], down=tables[1])
+    return tables
+
+
+def sliced(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -150,8 +161,8 @@ def signatures(shingles: np.ndarray, rings: Rings) -> np.ndarray:
             out.append(mix(mix(sums + full.astype(_U)) + _U(((ring << 16) + slicing) * _BASE % (1 << 64))))
             if slices - len(full) <= spare:
                 break
-        else:
-            raise RuntimeError("no slicing leaves few enough slices empty")
+        else:  # documents that no slicing suits meet in a cell of their own
+            out.append(mix(np.array([(ring << 32) + 1], _U)))
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
@@ -276,22 +287,29 @@ def jaccard_components(
     Two documents link when ``den * intersection >= num * union`` of their shingle sets.  A text without
     words (or null) has an empty set and links with nothing; a null id takes part like any other and is
     the component's only if all its ids are null.  Rows that repeat an id or a text give a row each.  An
-    empty table gives no rows.
+    empty table gives no rows.  Whole texts count, however long; other columns are not read.
     """
+    return _components_of(docs, words, num, den, id_col, text_col, block).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def _components_of(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str, block: int) -> DataFrame:
+    """(id, check, n_shingles, component, component_id) per row: a hash of the text, and the number of the row's component, null
+    for rows alone in theirs."""
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def describe(batches):
-        for b in batches:
+        for b in sliced(batches):
             sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) if len(s) else None for s in sets], pa.int64())], ["id", "n_shingles", "cls"]
+                [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) if len(s) else None for s in sets], pa.int64())],
+                ["id", "check", "n_shingles", "cls"],
             )
 
     def cells(batches):
         rings, task, waiting, held = Rings(num, den), TaskContext.get().partitionId() + 1, [], 0
-        for b in batches:
-            for t in b.column(1).to_pylist():
+        for b in sliced(batches):
+            for t in b.column(0).to_pylist():
                 s = shingle_set(t, words)
                 if len(s):
                     keys = signatures(s, rings)
@@ -306,86 +324,112 @@ def jaccard_components(
     def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return shared_cells(int(key[0]), int(key[1]), b"".join(group["cells"]), b"".join(group["classes"]), buckets)
 
+    def of_class(b):
+        """(class, set) of the rows whose text has the set of the class that they speak for."""
+        return [(c, s) for t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if class_id(s := shingle_set(t, words)) == c]
+
     def sketches_of(batches):
-        for b in batches:
-            found = [(c, len(s), parity_sketch(s)) for t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if class_id(s := shingle_set(t, words)) == c]
-            columns = list(zip(*found)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["cls", "size", "sketch"])
+        for b in sliced(batches):
+            found = of_class(b)
+            columns = [[c for c, _ in found], [len(s) for _, s in found], [parity_sketch(s) for _, s in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["cls", "size", "sketch"])
 
-    def prune(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = (int(k) for k in key)
-        group = group.drop_duplicates("cls")
-        hit = may_link(group["size"].to_numpy(), list(group["sketch"]), num, den, None if i == j else (group["own"].to_numpy() == j).astype(int))
-        return group.loc[hit, ["cls", "pivot"]]
+    def sets_of(batches):
+        for b in sliced(batches):
+            found = of_class(b)
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], ["cls", "shingles"])
 
-    def dealt_out(rows: DataFrame) -> DataFrame:
-        """Rows of a region to each pair (i, j) of its blocks that they take part in."""
-        own = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return own.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+    def prune(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        hit = may_link(group["size"].to_numpy(), list(group["sketch"]), num, den)
+        return group.loc[hit, ["pivot", "cls"]]
 
     def in_blocks(pairs: DataFrame) -> DataFrame:
-        return pairs.join(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "pivot")
+        """Adds the number of blocks of each region, by documents and by shingles."""
+        blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+        return pairs.join(pairs.groupBy("pivot").agg(blocks.alias("blocks")), "pivot")
 
-    def sets_of(batches):
-        for b in batches:
-            found = [(s, c) for t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if class_id(s := shingle_set(t, words)) == c]
-            yield pa.RecordBatch.from_arrays([pa.array([c for _, c in found], pa.int64()), pa.array([s.view(np.int64) for s, _ in found], pa.list_(pa.int64()))], ["cls", "shingles"])
-
-    members = cut(source.mapInArrow(describe, f"id {kind}, n_shingles bigint, cls bigint"), "jaccard-members")
+    members = cut(source.withColumn("check", F.xxhash64("text")).mapInArrow(describe, f"id {kind}, check bigint, n_shingles bigint, cls bigint"), "jaccard-members")
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, total // FLUSH)
-    packed = source.mapInArrow(cells, "bucket bigint, salt int, cells binary, classes binary")
+    classes = cut(members.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("first_id"), F.count("*").alias("n")), "jaccard-classes")
+    packed = source.select("text").mapInArrow(cells, "bucket bigint, salt int, cells binary, classes binary")
     shared = cut(packed.groupBy("bucket", "salt").applyInPandas(meet, "cell bigint, cls bigint, pivot bigint"), "jaccard-cells")
     heads = shared.filter("cls = pivot").select("cell", "pivot")
     local = shared.filter("pivot is null").select("cell", "cls").join(sized(heads), "cell").select("cls", "pivot")
     regions = cut(local.unionByName(shared.filter("cls <> pivot").select("cls", "pivot")).filter("cls <> pivot").distinct(), "jaccard-regions")
-    wanted = regions.select("cls").union(regions.select(F.col("pivot"))).distinct()
-    speakers = cut(members.join(wanted, "cls").groupBy("cls").agg(F.min("id").alias("_speaker")), "jaccard-speakers")
+    remove(shared)
 
     def texts(chosen: DataFrame) -> DataFrame:
-        return source.join(sized(chosen), F.col("id").eqNullSafe(F.col("_speaker"))).select("text", "cls")
+        speakers = cut(classes.join(chosen.distinct(), "cls").select("cls", F.col("first_id").alias("_speaker")), "jaccard-speakers")
+        return source.join(sized(speakers), F.col("id").eqNullSafe(F.col("_speaker"))).select("text", "cls")
 
     # Sketches drop the documents of a region that can't have a link in it, before their sets travel.
-    sketches = cut(texts(speakers).mapInArrow(sketches_of, "cls bigint, size bigint, sketch binary").dropDuplicates(["cls"]), "jaccard-sketches")
+    sketches = cut(texts(regions.select("cls").union(regions.select("pivot"))).mapInArrow(sketches_of, "cls bigint, size bigint, sketch binary").dropDuplicates(["cls"]), "jaccard-sketches")
     whole = regions.unionByName(regions.select("pivot").distinct().select(F.col("pivot").alias("cls"), "pivot"))
-    sketched = dealt_out(in_blocks(whole).join(sketches, "cls")).groupBy("pivot", "i", "j").applyInPandas(prune, "cls bigint, pivot bigint")
-    near = cut(in_blocks(sketched.filter("cls <> pivot").distinct()), "jaccard-near")
-    needed = near.select("cls").union(near.select("pivot")).distinct()
-    sets = cut(texts(cut(speakers.join(needed, "cls"), "jaccard-needed")).mapInArrow(sets_of, "cls bigint, shingles array<bigint>"), "jaccard-sets")
-
-    pivots = sets.select(F.col("cls").alias("pivot"), F.col("shingles").alias("_of_pivot"))
-    rows = near.join(sets, "cls").join(pivots, "pivot").select(
-        "pivot", "blocks", "cls", F.size("shingles").cast("bigint").alias("size"), F.size("_of_pivot").cast("bigint").alias("pivot_size"),
+    described = in_blocks(whole.join(sketches, "cls"))
+    few = described.filter("blocks = 1").groupBy("pivot").applyInPandas(prune, "pivot bigint, cls bigint")
+    near = cut(few.unionByName(described.filter("blocks > 1").select("pivot", "cls")).filter("cls <> pivot"), "jaccard-near")
+    sets = cut(texts(near.select("cls").union(near.select("pivot"))).mapInArrow(sets_of, "cls bigint, shingles array<bigint>").dropDuplicates(["cls"]), "jaccard-sets")
+    of_pivot = sets.select(F.col("cls").alias("pivot"), F.col("shingles").alias("_of_pivot"))
+
+    reach = 1 - num / den
+    edges, rest, now = [], [], near
+    for round_number in range(ROUNDS):
+        both = F.size(F.array_intersect("shingles", "_of_pivot")).cast("bigint")
+        seen = now.join(sets, "cls").join(of_pivot, "pivot").select("pivot", "cls", F.size("shingles").cast("bigint").alias("size"), F.size("_of_pivot").cast("bigint").alias("pivot_size"), both.alias("both"))
+        union = F.col("size") + F.col("pivot_size") - F.col("both")
+        seen = cut(seen.withColumn("linked", den * F.col("both") >= num * union).withColumn("far", 1 - F.col("both") / union), f"jaccard-round{round_number}")
+        edges.append(seen.filter("linked").select(F.col("pivot").alias("a"), F.col("cls").alias("b")))
+        outside = seen.filter("not linked").groupBy("pivot").agg(F.min("far").alias("nearest"), F.min("cls").alias("next"))
+        window = seen.join(outside, "pivot").filter(~F.col("linked") | (F.col("far") >= F.col("nearest") - reach - 1e-9))
+        window = cut(in_blocks(window.select("pivot", "cls", "size", "pivot_size", "next")), f"jaccard-window{round_number}")
+        last = round_number == ROUNDS - 1
+        rest.append((window if last else window.filter("blocks = 1")).select("pivot", "cls", "pivot_size", "blocks"))
+        now = window.filter("blocks > 1 and cls <> next").select(F.col("next").alias("pivot"), "cls").distinct()
+        if last or window.filter("blocks > 1").isEmpty():
+            break
+    small = rest[0]
+    for more in rest[1:]:
+        small = small.unionByName(more)
+    rows = small.join(sets, "cls").join(of_pivot, "pivot").select(
+        "pivot", "blocks", "cls", F.size("shingles").cast("bigint").alias("size"),
         F.concat(F.array_except("shingles", "_of_pivot"), F.array_except("_of_pivot", "shingles")).alias("diff"),
     )
-    dealt = dealt_out(rows)
+    own = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = own.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
 
     def join_region(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        pivot, i, j = (int(k) for k in key)
+        _, i, j = (int(k) for k in key)
         group = group.drop_duplicates("cls").sort_values("cls", ignore_index=True)
-        cls, size, diffs = group["cls"].to_numpy(), group["size"].to_numpy(), [np.asarray(x, np.int64) for x in group["diff"]]
-        if i == j:  # the pivot itself belongs to its region
-            cls, size, diffs = np.append(cls, pivot), np.append(size, group["pivot_size"].iloc[0]), [*diffs, np.empty(0, np.int64)]
-            edges = region_forest(cls, size, diffs, num, den)
-        else:
-            edges = region_forest(cls, size, diffs, num, den, (group["own"].to_numpy() == j).astype(int))
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
-
-    edges = dealt.groupBy("pivot", "i", "j").applyInPandas(join_region, "a bigint, b bigint")
-    linked = components(edges).withColumnsRenamed({"node": "cls"})
-    repeated = members.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
-    classes = repeated.join(linked, "cls", "left").filter("n > 1 or component is not null").withColumn("component", F.coalesce("component", "cls"))
-    classes = cut(classes.select("cls", "component", "first_id"), "jaccard-classes")
-    first = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    found = cut(classes.join(first, "component").select("cls", "component_id", F.lit(True).alias("_found")), "jaccard-found")
+        side = None if i == j else (group["own"].to_numpy() == j).astype(int)
+        found = region_forest(group["cls"].to_numpy(), group["size"].to_numpy(), [np.asarray(x, np.int64) for x in group["diff"]], num, den, side)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    links = dealt.groupBy("pivot", "i", "j").applyInPandas(join_region, "a bigint, b bigint")
+    for more in edges:
+        links = links.unionByName(more)
+    linked = components(links).withColumnsRenamed({"node": "cls"})
+    named = classes.join(linked, "cls", "left").filter("n > 1 or component is not null").withColumn("component", F.coalesce("component", "cls"))
+    named = cut(named.select("cls", "component", "first_id"), "jaccard-named")
+    first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    found = cut(named.join(first, "component").select("cls", "component", "component_id"), "jaccard-found")
+    for used in (regions, sketches, near, sets, named):
+        remove(used)
     return members.join(sized(found), "cls", "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.when(F.col("_found"), F.col("component_id")).otherwise(F.col("id")).alias("component_id")
+        "id", "check", "n_shingles", "component", F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id")
     )
 
 
 def keep_one_per_component(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay when each component keeps its smallest id; all columns of ``docs``.
-    Rows whose id is null stay (they can't be told apart)."""
-    found = jaccard_components(docs, words, num, den, id_col, text_col)
-    gone = cut(found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct(), "jaccard-gone")
-    return docs.join(sized(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+    """The documents that stay when each component keeps the one with its smallest id; all columns of ``docs``.
+
+    Of several texts with that id the one with the smallest hash stays; a null id stays only where all are null.  Rows that
+    repeat the id and text that stay all stay (exact dedup drops such rows).  Documents alone in their component stay.
+    """
+    found = cut(_components_of(docs, words, num, den, id_col, text_col, 2000).filter("component is not null").select("id", "check", "component"), "jaccard-members")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "check")
+    best = found.groupBy("component").agg(F.min(order).alias("best"))
+    gone = found.join(best, "component").filter(~(F.col("id").eqNullSafe(F.col("best.id")) & F.col("check").eqNullSafe(F.col("best.check"))))
+    gone = cut(gone.select(F.col("id").alias("_gone"), F.col("check").alias("_gone_check")).distinct(), "jaccard-gone")
+    here = docs.withColumn("_check", F.xxhash64(F.col(text_col)))
+    return here.join(sized(gone), F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_check") == F.col("_gone_check")), "left_anti").drop("_check")

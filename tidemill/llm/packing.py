@@ -2,7 +2,8 @@
 
 Pieces are dealt into groups of bounded size; each group is packed best-fit (largest first).  Nearly
 full bins are final.  Underfull bins become items themselves: groups of a tree level meet, ``fan_in`` at
-a time, and their bins are best-fit packed again (as wholes, or as pieces where that needs fewer bins), until one group is left or a level's groups would exceed
+a time, and
+their bins are best-fit packed again, until one group is left or a level's groups would exceed
 the bound.  What moves is a few numbers per piece, never text.
 """
 
@@ -76,7 +77,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 20_000, fan_
 
     ``length`` must be between 1 and ``capacity``.  Equal lengths are taken in order of id and piece, so
     the result does not depend on how rows arrive.  Bins with at most ``slack`` free places are final at
-    once.  An empty table gives no rows.
+    once.  Null ids and repeated rows are pieces like any other.  An empty table gives no rows.
     """
     kind = pieces.schema["doc_id"].dataType.simpleString()
     out = PIECE.format(id=kind) + ", sequence_id bigint, offset bigint, open boolean"
@@ -85,12 +86,12 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 20_000, fan_
         def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values(["sequence_id", "offset", "doc_id", "piece", "ids_crc32"] if level else ["doc_id", "piece", "length", "ids_crc32"], ignore_index=True)
             lengths = group["length"].to_numpy()
-            mine, offset = best_fit(lengths, capacity)
-            if level:  # underfull bins as items; taken apart only where that saves bins
+            if level:  # underfull bins are items
                 item = pd.factorize(group["sequence_id"])[0]
                 bins, offsets = best_fit(np.bincount(item, weights=lengths).astype(np.int64), capacity)
-                if bins.max() <= mine.max():
-                    mine, offset = bins[item], offsets[item] + group["offset"].to_numpy()
+                mine, offset = bins[item], offsets[item] + group["offset"].to_numpy()
+            else:
+                mine, offset = best_fit(lengths, capacity)
             filled = np.bincount(mine, weights=lengths)
             group["offset"] = offset
             group["sequence_id"] = (level << 56) + (int(key[0]) << 24) + mine
@@ -126,5 +127,6 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 20_000, fan_
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise, cut and pack every document: one row per piece with its sequence and place in it."""
+    """Tokenise, cut and pack every document: one row per piece with its sequence and place in it.  Null and empty texts
+    are one piece of the end id alone; longer texts than a sequence are cut; rows stay rows; other columns are not read."""
     return pack(cut(token_pieces(docs, vocabulary, capacity, id_col=id_col, text_col=text_col), "pack-pieces"), capacity)

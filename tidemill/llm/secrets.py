@@ -1,9 +1,9 @@
 """Secret scans with DataFrame functions only.
 
-Base patterns give spans by kind.  Besides, candidate strings (long runs of token characters that hold a
-digit) are scanned by a sliding window whose Shannon entropy is kept up to date from counts: each step
-adds one character and takes one away.  A candidate is a secret when a window's entropy reaches the
-threshold of its character class, unless an allow-list pattern matches it or a base span touches it.
+Base patterns give spans by kind.  Besides, candidate strings (long runs of token characters) are searched for in what
+base spans and allow-listed strings leave of a text, and scanned by a sliding window whose Shannon entropy is kept up to
+date from counts: each step adds one character and takes one away.  A candidate is a secret when a window's entropy
+reaches the threshold of its character class.
 
 Entropies are compared in whole millionths of a bit, so results do not depend on summation order.
 """
@@ -23,14 +23,21 @@ BASE = [
 ]
 WINDOW = 20
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
-#: Character classes from narrow to wide: pattern of a whole candidate, least entropy of a window in bits.
-CLASSES = [("hex", r"^[0-9a-fA-F]+$", 3.0), ("upper", r"^[0-9A-Z]+$", 3.3), ("token", r"^[A-Za-z0-9+/_=-]+$", 3.7)]
-#: Candidates that are no secrets: UUIDs, documentation examples, dates and counters, paths of plain words.
+#: Character classes from narrow to wide: pattern of a whole candidate, least entropy of a window in bits.  Letters alone
+#: are scanned where both cases occur, against the highest threshold.
+CLASSES = [("hex", r"^[0-9a-fA-F]+$", 3.0), ("upper", r"^[0-9A-Z]+$", 3.3), ("letters", r"^[^0-9]+$", 3.9), ("token", r"^[A-Za-z0-9+/_=-]+$", 3.7)]
+#: Strings that are no secrets and are passed over wherever they stand: UUIDs, and words that hold a mark of documentation.
 ALLOWED = [
-    r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"EXAMPLE|example|SAMPLE|XXXX|xxxx|0000000000|1234567890",
+    r"(?<![A-Za-z0-9])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])[A-Za-z0-9]*?(?:EXAMPLE|example|SAMPLE|XXXX|xxxx|0000000000|1234567890)[A-Za-z0-9]*",
+]
+#: Whole candidates that are none: dates and counters, paths of plain words, words in one case, words run together.
+PLAIN = [
     r"^[0-9/_=+-]+$",
     r"^[a-z]+([/_-]+([a-z]+|[0-9]{1,4}))+$",
+    r"^[^0-9A-Z]+$",
+    r"^[^0-9a-z]+$",
+    r"^[/_=+-]*[a-z]*([A-Z][a-z]{2,}[/_=+-]*)+$",
 ]
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
@@ -78,22 +85,31 @@ def least_entropy_sum(candidate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.char_length(candidate)), start, step, lambda s: s["best"])
 
 
-def entropy_spans(text: Column, base: Column, allowed: list[str]) -> Column:
+def blanked(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
+    """``text`` with spaces for the matches of ``pattern`` whose ``group`` has at least ``least`` characters; places stay."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    tested = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    shown = F.zip_with(hits, tested, lambda h, t: F.when(F.char_length(t) >= least, F.repeat(F.lit(" "), F.char_length(h))).otherwise(h))
+    parts = F.zip_with(F.split(text, pattern, -1), shown, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit(""))))
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.array_join(parts, "")).otherwise(text)
+
+
+def entropy_spans(text: Column) -> Column:
+    """Spans of the secrets among the candidates of ``text``."""
     found = spans(text, CANDIDATE, len(BASE), "entropy")
-    word = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    words = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
 
-    def secret(s):
-        w = word(s)
+    def secret(w):
         limit = F.lit(0).cast("bigint")
         for _, pattern, bits in reversed(CLASSES):
             limit = F.when(F.regexp_like(w, F.lit(pattern)), F.lit(part(WINDOW) - round(bits * WINDOW * 1e6)).cast("bigint")).otherwise(limit)
-        ok = F.regexp_like(w, F.lit("[0-9]"))
-        for pattern in allowed:
+        ok = F.lit(True)
+        for pattern in PLAIN:
             ok = ok & ~F.regexp_like(w, F.lit(pattern))
-        ok = ok & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         return F.when(ok, least_entropy_sum(w) <= limit).otherwise(False)
 
-    return F.filter(found, secret)
+    judged = F.zip_with(found, words, lambda s, w: F.struct(s.alias("span"), secret(w).alias("secret")))
+    return F.transform(F.filter(judged, lambda x: x["secret"]), lambda x: x["span"])
 
 
 def joined(spans_col: Column) -> Column:
@@ -110,7 +126,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     base = F.concat(*[spans(text, pattern if kind != "hex" else r"[0-9a-f]{24,}", k, kind, group, least) for k, (kind, pattern, group, least) in enumerate(BASE)])
     rows = rows.withColumn("base", base)
-    extra = F.when(F.regexp_like(text, F.lit(CANDIDATE)), entropy_spans(text, F.col("base"), ALLOWED if allowed is None else allowed))
+    left = text
+    for kind, pattern, group, least in BASE:
+        left = blanked(left, pattern if kind != "hex" else r"[0-9a-f]{24,}", group, least)
+    for pattern in ALLOWED if allowed is None else allowed:
+        left = blanked(left, pattern)
+    rows = rows.withColumn("_left", F.when(F.regexp_like(text, F.lit(CANDIDATE)), left))
+    extra = F.when(F.regexp_like("_left", F.lit(CANDIDATE)), entropy_spans(F.col("_left")))
     return rows.select(F.col("_id").alias(id_col), "base", F.concat("base", F.coalesce(extra, F.array().cast(SPAN))).alias("all_spans"))
 
 

@@ -32,7 +32,7 @@ ORDINARY_BYTES, TOXIC_BYTES, SAMPLE_WINDOWS = 131_072, 2_048, 600_000
 SAVED, LEVEL = 4, 12
 #: Windows of toxic training texts count from this many of them on: what is in one text only can't be learned.
 LEAST_TEXTS = 3
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 
 
 def code(window: str) -> bytes:
