@@ -3,8 +3,8 @@
 Pieces are dealt into groups of bounded size; each group is packed best-fit (largest first).  Nearly
 full bins are final.  Underfull bins become items themselves: groups of a tree level meet, ``fan_in`` at
 a time, and
-their bins are best-fit packed again, until one group is left or a level's groups would exceed
-the bound.  What moves is a few numbers per piece, never text.
+their bins are best-fit packed again (as wholes, or as pieces where that needs fewer bins), until one
+group is left or a level's groups would exceed the bound.  What moves is a few numbers per piece, never text.
 """
 
 from __future__ import annotations
@@ -86,12 +86,12 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 20_000, fan_
         def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values(["sequence_id", "offset", "doc_id", "piece", "ids_crc32"] if level else ["doc_id", "piece", "length", "ids_crc32"], ignore_index=True)
             lengths = group["length"].to_numpy()
-            if level:  # underfull bins are items
+            mine, offset = best_fit(lengths, capacity)
+            if level:  # underfull bins as items; taken apart only where that saves bins
                 item = pd.factorize(group["sequence_id"])[0]
                 bins, offsets = best_fit(np.bincount(item, weights=lengths).astype(np.int64), capacity)
-                mine, offset = bins[item], offsets[item] + group["offset"].to_numpy()
-            else:
-                mine, offset = best_fit(lengths, capacity)
+                if bins.max() <= mine.max():
+                    mine, offset = bins[item], offsets[item] + group["offset"].to_numpy()
             filled = np.bincount(mine, weights=lengths)
             group["offset"] = offset
             group["sequence_id"] = (level << 56) + (int(key[0]) << 24) + mine
