@@ -343,10 +343,10 @@ def _components_of(docs: DataFrame, words: int, num: int, den: int, id_col: str,
         hit = may_link(group["size"].to_numpy(), list(group["sketch"]), num, den)
         return group.loc[hit, ["pivot", "cls"]]
 
-    def in_blocks(pairs: DataFrame) -> DataFrame:
-        """Adds the number of blocks of each region, by documents and by shingles."""
+    def large_of(pairs: DataFrame, name: str) -> DataFrame:
+        """(pivot, blocks) of the regions that one task can't join, by documents or by shingles: written, few."""
         blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
-        return pairs.join(pairs.groupBy("pivot").agg(blocks.alias("blocks")), "pivot")
+        return sized(cut(pairs.groupBy("pivot").agg(blocks.alias("blocks")).filter("blocks > 1"), name))
 
     members = cut(source.withColumn("check", F.xxhash64("text")).mapInArrow(describe, f"id {kind}, check bigint, n_shingles bigint, cls bigint"), "jaccard-members")
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
@@ -366,9 +366,10 @@ def _components_of(docs: DataFrame, words: int, num: int, den: int, id_col: str,
     # Sketches drop the documents of a region that can't have a link in it, before their sets travel.
     sketches = cut(texts(regions.select("cls").union(regions.select("pivot"))).mapInArrow(sketches_of, "cls bigint, size bigint, sketch binary").dropDuplicates(["cls"]), "jaccard-sketches")
     whole = regions.unionByName(regions.select("pivot").distinct().select(F.col("pivot").alias("cls"), "pivot"))
-    described = in_blocks(whole.join(sketches, "cls"))
-    few = described.filter("blocks = 1").groupBy("pivot").applyInPandas(prune, "pivot bigint, cls bigint")
-    near = cut(few.unionByName(described.filter("blocks > 1").select("pivot", "cls")).filter("cls <> pivot"), "jaccard-near")
+    described = whole.join(sketches, "cls")
+    large = large_of(described, "jaccard-large")
+    few = described.join(large, "pivot", "left_anti").groupBy("pivot").applyInPandas(prune, "pivot bigint, cls bigint")
+    near = cut(few.unionByName(whole.join(large, "pivot", "left_semi").select("pivot", "cls")).filter("cls <> pivot"), "jaccard-near")
     sets = cut(texts(near.select("cls").union(near.select("pivot"))).mapInArrow(sets_of, "cls bigint, shingles array<bigint>").dropDuplicates(["cls"]), "jaccard-sets")
     of_pivot = sets.select(F.col("cls").alias("pivot"), F.col("shingles").alias("_of_pivot"))
 
@@ -380,14 +381,16 @@ def _components_of(docs: DataFrame, words: int, num: int, den: int, id_col: str,
         union = F.col("size") + F.col("pivot_size") - F.col("both")
         seen = cut(seen.withColumn("linked", den * F.col("both") >= num * union).withColumn("far", 1 - F.col("both") / union), f"jaccard-round{round_number}")
         edges.append(seen.filter("linked").select(F.col("pivot").alias("a"), F.col("cls").alias("b")))
-        outside = seen.filter("not linked").groupBy("pivot").agg(F.min("far").alias("nearest"), F.min("cls").alias("next"))
-        window = seen.join(outside, "pivot").filter(~F.col("linked") | (F.col("far") >= F.col("nearest") - reach - 1e-9))
-        window = cut(in_blocks(window.select("pivot", "cls", "size", "pivot_size", "next")), f"jaccard-window{round_number}")
-        last = round_number == ROUNDS - 1
-        rest.append((window if last else window.filter("blocks = 1")).select("pivot", "cls", "pivot_size", "blocks"))
-        now = window.filter("blocks > 1 and cls <> next").select(F.col("next").alias("pivot"), "cls").distinct()
-        if last or window.filter("blocks > 1").isEmpty():
+        outside = cut(seen.filter("not linked").groupBy("pivot").agg(F.min("far").alias("nearest"), F.min("cls").alias("next")), "jaccard-outside")
+        window = seen.join(sized(outside), "pivot").filter(~F.col("linked") | (F.col("far") >= F.col("nearest") - reach - 1e-9))
+        window = cut(window.select("pivot", "cls", "size", "next"), f"jaccard-window{round_number}")
+        large = large_of(window, "jaccard-large")
+        rest.append(window.join(large, "pivot", "left_anti").select("pivot", "cls", F.lit(1).alias("blocks")))
+        if large.isEmpty():
             break
+        if round_number == ROUNDS - 1:
+            rest.append(window.join(large, "pivot").select("pivot", "cls", "blocks"))
+        now = window.join(large, "pivot", "left_semi").filter("cls <> next").select(F.col("next").alias("pivot"), "cls").distinct()
     small = rest[0]
     for more in rest[1:]:
         small = small.unionByName(more)
