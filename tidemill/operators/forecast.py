@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .missing import impute
+from .rolling import z_value
 
-#: Standard normal quantiles (fixed values).
-Z = {0.1: -1.2815515655446004, 0.5: 0.0, 0.9: 1.2815515655446004}
 
 
 def test_windows(long: DataFrame, test_length: int, horizon: int) -> DataFrame:
@@ -36,7 +35,7 @@ def naive_quantiles(long: DataFrame, horizon: int, levels=(0.1, 0.5, 0.9)) -> Da
     """(series, step, q, y_hat): last value plus z * sigma * sqrt(step), sigma from one-step differences."""
     filled = impute(long, "locf").withColumn("d", F.col("y_hat") - F.lag("y_hat").over(Window.partitionBy("series").orderBy("pos")))
     last = filled.groupBy("series").agg(F.max_by("y_hat", "pos").alias("last"), F.coalesce(F.sqrt(F.avg(F.col("d") * F.col("d"))), F.lit(0.0)).alias("sigma"))
-    pairs = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(Z[q]).alias("z")) for q in levels])
+    pairs = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(z_value(q)).alias("z")) for q in levels])
     rows = last.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("p", F.explode(pairs))
     return rows.select("series", "step", F.col("p.q").alias("q"), (F.col("last") + F.col("p.z") * F.col("sigma") * F.sqrt("step")).alias("y_hat"))
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: Seasons per unit of frequency, default horizons (general, and of the M4 sets), multiples by term.
 SEASONS = {"S": 3600, "T": 1440, "H": 24, "D": 1, "W": 1, "B": 5, "M": 12, "Q": 4, "A": 1}
 HORIZONS = {"A": 6, "Q": 8, "M": 12, "W": 8, "B": 21, "D": 30, "H": 48, "T": 48, "S": 60}
@@ -150,8 +152,12 @@ def group_ids(targets: DataFrame, covariates: DataFrame) -> DataFrame:
     Inputs: (series, name), and (series, name, known_future)."""
     rows = targets.select("series", "name", F.lit(0).alias("role")).unionByName(covariates.select("series", "name", F.when(F.col("known_future"), 2).otherwise(1).alias("role")))
     rows = rows.groupBy("series", "name").agg(F.max("role").alias("role"))
-    # Series are numbered in a table of one row each.
-    ids = rows.select("series").distinct().withColumn("group_id", F.dense_rank().over(Window.orderBy("series")) - 1)
+    # Series are numbered by ranges: within each from its first, and by the number of those in the ranges before.
+    ranged = checkpointed(rows.select("series").distinct().orderBy("series").withColumn("_n", F.monotonically_increasing_id()))
+    ranged = ranged.select("series", F.shiftright("_n", 33).alias("_range"), F.col("_n").bitwiseAND((1 << 33) - 1).alias("_place"))
+    sizes = ranged.groupBy("_range").agg((F.max("_place") + 1).alias("_size"))
+    before = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))  # a row per range
+    ids = ranged.join(F.broadcast(before), "_range").select("series", (F.col("_before") + F.col("_place")).cast("int").alias("group_id"))
     return rows.join(ids, "series").withColumn("place", F.row_number().over(Window.partitionBy("series").orderBy("role", "name")) - 1)
 
 

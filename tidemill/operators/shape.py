@@ -15,10 +15,13 @@ def regularize(events: DataFrame, series: str, ts: str, value: str, unit: str =
     """Mean value per series and time unit; units without events are rows with NULL."""
     spot = F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz")
     means = events.select(F.col(series).alias("series"), spot.alias("ts"), observed(value).alias("v")).groupBy("series", "ts").agg(F.avg("v").alias("y"))
-    spine = means.groupBy("series").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    spine = spine.select("series", "lo", F.explode(F.sequence("lo", "hi", F.expr(f"interval 1 {unit}"))).alias("ts"))
-    joined = spine.join(means, ["series", "ts"], "left")
-    return joined.withColumn("pos", F.row_number().over(Window.partitionBy("series").orderBy("ts")) - 1).select("series", "pos", "ts", "y")
+    # One shuffle by series: each unit with events brings the empty ones up to the next.
+    own = Window.partitionBy("series")
+    rows = means.withColumn("_next", F.lead("ts").over(own.orderBy("ts"))).withColumn("_low", F.min("ts").over(own))
+    spread = F.sequence(F.col("ts"), F.coalesce(F.col("_next") - F.expr(f"interval 1 {unit}"), F.col("ts")), F.expr(f"interval 1 {unit}"))
+    rows = rows.select("series", "_low", F.col("ts").alias("_ts"), "y", F.posexplode(spread).alias("_k", "ts"))
+    pos = (F.expr(f"timestampdiff({unit}, _low, _ts)") + F.col("_k")).cast("int")
+    return rows.select("series", pos.alias("pos"), "ts", F.when(F.col("_k") == 0, F.col("y")).alias("y"))
 
 
 def time_grid(long: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import time
 from collections.abc import Callable
 
@@ -10,17 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import evaluation, masking, selection, shape
+from .common import checkpointed
 from .missing import impute
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint in the session's folder; a local one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
-
-
 def flatten_channels(packed: DataFrame) -> DataFrame:
     """One row per channel of ``target``, numbered by ``channel``; other columns stay."""
     return packed.select("*", F.posexplode("target").alias("channel", "_target")).withColumn("target", F.col("_target")).drop("_target")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import forecast, leaderboard, missing, scaling, shape
 
-from . import more, wider
+from . import more, rolling, wider
 from .common import GRID, HORIZON, SCORES, SEASON, grid, model_scores, rounded, split
 
 
@@ -31,6 +31,11 @@ SELECT series, round(avg(e * e), 6) AS mse, round(avg(e), 6) AS mae, round(sqrt(
 FROM e LEFT JOIN z USING (series) GROUP BY series"""
 
 
+def crps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    context, truth = split(grid(spark, sf_dir))
+    return rounded(forecast.quantile_loss(forecast.naive_quantiles(context, HORIZON), truth))
+
+
 def _fill(method: str, season: int | None = None):
     return lambda spark, d: rounded(missing.impute(grid(spark, d), method, season).select("series", "pos", "y_hat"))
 
@@ -57,7 +62,7 @@ QUERIES = {
     "g4_asinh": lambda s, d: rounded(scaling.asinh_scale(grid(s, d)).select("series", "pos", "scaled")),
     "h2_naive": lambda s, d: rounded(forecast.naive_quantiles(grid(s, d), HORIZON), 5),
     "h3_seasonal_naive": lambda s, d: rounded(forecast.seasonal_naive(grid(s, d), HORIZON, SEASON)),
-    "i7_crps": lambda s, d: rounded(forecast.quantile_loss(forecast.naive_quantiles(split(grid(s, d))[0], HORIZON), split(grid(s, d))[1])),
+    "i7_crps": crps,
     "j2_rank_models": lambda s, d: leaderboard.rank_models(model_scores(s, d)),
     "j3_normalize_by_baseline": lambda s, d: rounded(leaderboard.normalize_by_baseline(model_scores(s, d), "click")),
     "j6_leaderboard": lambda s, d: rounded(leaderboard.leaderboard(model_scores(s, d), "click")),
@@ -103,5 +108,5 @@ SELECT model, round(gmean_ratio, 6) AS gmean_ratio, round(avg_rank, 6) AS avg_ra
     "j9_win_rate": SCORES + "SELECT a.model, b.model AS other, round(100 * avg(CASE WHEN a.score < b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END), 6) AS win_rate FROM sc a JOIN sc b ON a.dataset = b.dataset GROUP BY 1, 2",
 }
 
-QUERIES |= more.QUERIES | wider.QUERIES
-ORACLE_SQL |= more.ORACLE_SQL | wider.ORACLE_SQL
+QUERIES |= more.QUERIES | wider.QUERIES | rolling.QUERIES
+ORACLE_SQL |= more.ORACLE_SQL | wider.ORACLE_SQL | rolling.ORACLE_SQL

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.operators import shape
@@ -30,8 +30,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def split(long: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Context, and the last HORIZON positions as (series, step, y)."""
-    n = long.groupBy("series").agg((F.max("pos") + 1).alias("n"))
-    rows = long.join(n, "series")
+    rows = long.withColumn("n", F.max("pos").over(Window.partitionBy("series")) + 1)
     cutoff = F.col("n") - HORIZON
     return rows.filter(F.col("pos") < cutoff).drop("n"), rows.filter(F.col("pos") >= cutoff).select("series", (F.col("pos") - cutoff + 1).alias("step"), "y")
 

@@ -89,7 +89,8 @@ def display(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def future_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = order_counts(spark, sf_dir)[1].filter("pos < 1500")
+    x = order_counts(spark, sf_dir)[1]
+    x = x.join(x.groupBy("series").agg(F.max("pos").alias("_end")), "series").filter("pos <= _end - 30").drop("_end")
     ahead = training.forecast_covariates(x, lambda rows, h: forecast.seasonal_naive(rows, h, 1), HORIZON)
     return ahead.filter("forecast").select("series", "name", "pos", "x")
 
@@ -196,7 +197,7 @@ ORACLE_SQL = {
     "g3_masked_instance_scale": GRID + ", st AS (SELECT series, avg(y) AS a, stddev_pop(y) AS b FROM g WHERE pos % 3 <> 1 GROUP BY 1) SELECT series, pos, round((y - a) / CASE WHEN b > 1e-5 THEN b ELSE 1.0 END, 6) AS scaled FROM g JOIN st USING (series)",
     "g6_display_scale": GRID + ", st AS (SELECT series, avg(y) AS a, stddev_pop(y) AS b FROM g WHERE pos < 200 GROUP BY 1) SELECT series, pos, round((y - a) / (b + 1e-6), 6) AS y FROM g JOIN st USING (series)",
     "h7_complete_lookback": GRID + f", {SQL_LINEAR} SELECT series, CAST(pos - (n - 24) + 1 AS INTEGER) AS step, round(coalesce(y, v0 + (v1 - v0) * (pos - p0) / (p1 - p0), v0, v1, 0.0), 6) AS y_hat FROM x JOIN m USING (series) WHERE pos >= n - 24",
-    "h8_forecast_covariates": ORDERS + f", l AS (SELECT series, max(pos) + 1 AS n, arg_max(x, pos) AS x FROM tg WHERE pos < 1500 GROUP BY 1) SELECT series, 'orders' AS name, CAST(n + k AS INTEGER) AS pos, x FROM l, range(0, {HORIZON}) AS r(k)",
+    "h8_forecast_covariates": ORDERS + f", l AS (SELECT series, max(pos) + 1 AS n, arg_max(x, pos) AS x FROM tg WHERE pos <= (SELECT max(pos) FROM tg b WHERE b.series = tg.series) - 30 GROUP BY 1) SELECT series, 'orders' AS name, CAST(n + k AS INTEGER) AS pos, x FROM l, range(0, {HORIZON}) AS r(k)",
     "i15_interval_bands": PRED + "SELECT series, step, round(max(y_hat) FILTER (WHERE q = 0.1), 5) AS low_10_90, round(max(y_hat) FILTER (WHERE q = 0.9), 5) AS high_10_90 FROM p GROUP BY 1, 2",
     "i16_masked_quantile_loss": PRED + ", lq AS (SELECT series, q, avg(loss) AS l, avg((y - y_hat) * (y - y_hat)) AS s, avg(abs(y - y_hat)) AS a FROM e WHERE step % 2 = 0 GROUP BY 1, 2) SELECT series, round(sum(l) / sqrt(3), 5) AS loss, round(max(s) FILTER (WHERE q = 0.5), 5) AS mse, round(max(a) FILTER (WHERE q = 0.5), 5) AS mae FROM lq GROUP BY 1",
     "j1_dataset_scores": WINDOWS + "SELECT model, dataset, round(avg(MASE), 6) AS MASE, round(avg(CRPS), 6) AS CRPS FROM wm GROUP BY 1, 2",
