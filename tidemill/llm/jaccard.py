@@ -15,7 +15,8 @@ Pivots are therefore found by cells, and regions join recursively around them, e
    can only link to those inside whose distance to the pivot is at most the threshold less than its own: this window is
    replicated to the rest, the others are done.  A rest of more than ``block`` documents (or ``BLOCK_SHINGLES``) takes one of
    its own as pivot and is joined so again; smaller ones are joined in one task, by their differences to the
-   pivot.  A rest that is large after ``ROUNDS`` rounds is joined block by block.
+   pivot.  A rest that a round no longer halves, or that is large after
+   ``ROUNDS`` rounds, is joined block by block.
 
 Parity sketches, whose distance is a lower bound, drop documents without a possible partner before sets travel.
 Documents with equal sets are one class throughout.  Regions return a spanning forest of their links,
@@ -374,7 +375,7 @@ def _components_of(docs: DataFrame, words: int, num: int, den: int, id_col: str,
     of_pivot = sets.select(F.col("cls").alias("pivot"), F.col("shingles").alias("_of_pivot"))
 
     reach = 1 - num / den
-    edges, rest, now = [], [], near
+    edges, rest, now, before = [], [], near, None
     for round_number in range(ROUNDS):
         both = F.size(F.array_intersect("shingles", "_of_pivot")).cast("bigint")
         seen = now.join(sets, "cls").join(of_pivot, "pivot").select("pivot", "cls", F.size("shingles").cast("bigint").alias("size"), F.size("_of_pivot").cast("bigint").alias("pivot_size"), both.alias("both"))
@@ -386,11 +387,15 @@ def _components_of(docs: DataFrame, words: int, num: int, den: int, id_col: str,
         window = cut(window.select("pivot", "cls", "size", "next"), f"jaccard-window{round_number}")
         large = large_of(window, "jaccard-large")
         rest.append(window.join(large, "pivot", "left_anti").select("pivot", "cls", F.lit(1).alias("blocks")))
-        if large.isEmpty():
+        waiting = window.join(large, "pivot").select("pivot", "cls", "blocks")
+        left = waiting.count()
+        if left and (round_number == ROUNDS - 1 or before is not None and 2 * left > before):
+            rest.append(waiting)  # rounds no longer halve it
+            left = 0
+        if not left:
             break
-        if round_number == ROUNDS - 1:
-            rest.append(window.join(large, "pivot").select("pivot", "cls", "blocks"))
-        now = window.join(large, "pivot", "left_semi").filter("cls <> next").select(F.col("next").alias("pivot"), "cls").distinct()
+        before, now = left, window.join(large, "pivot", "left_semi")
+        now = now.filter("cls <> next").select(F.col("next").alias("pivot"), "cls").distinct()
     small = rest[0]
     for more in rest[1:]:
         small = small.unionByName(more)
