@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .masking import series_seed
+
 
 def level(q: float) -> Column:
     """Predicate for one quantile level, compared in whole thousandths."""
@@ -137,7 +139,7 @@ def dataset_weights(inventory: DataFrame, prefix: Column) -> DataFrame:
 
 def sample_series(packed: DataFrame, weights: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` series without replacement, drawn by data set weight: the smallest exponential keys -ln(u) / weight."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "dataset", "item_id"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
+    u = (F.pmod(series_seed(seed, "dataset", "item_id"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
     counts = weights.select("dataset", (F.col("weight") / F.col("n_series")).alias("_w"))
     return packed.join(counts, "dataset").withColumn("_key", -F.ln(u) / F.col("_w")).orderBy("_key", "item_id").limit(n).drop("_key", "_w")
 

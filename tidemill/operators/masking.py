@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def series_seed(seed: int, *keys: str) -> Column:
-    """A 64-bit draw of its own for each combination of keys."""
-    return F.xxhash64(F.lit(seed), *keys)
+def series_seed(seed: int, *keys: str | Column) -> Column:
+    """A draw of 60 bits of its own for each combination of keys: the head of an MD5, which SQL engines share; NULL keys are left out."""
+    texts = [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *texts)), 1, 15), 16, 10).cast("bigint")
 
 
-def uniform(seed: int, *keys: str) -> Column:
+def uniform(seed: int, *keys: str | Column) -> Column:
     """A draw in [0, 1)."""
     return F.pmod(series_seed(seed, *keys), F.lit(1 << 31)) / F.lit(float(1 << 31))
 
@@ -30,7 +31,7 @@ def mask_blocks(long: DataFrame, n_blocks: int, block_size: int, seed: int = 0)
     n = long.groupBy("series").agg((F.max("pos") + 1).cast("int").alias("n"))
     tries = F.sequence(F.lit(0), F.lit(100 * n_blocks - 1))
     last = F.greatest(F.col("n") - block_size, F.lit(0))
-    starts = F.transform(tries, lambda k: F.pmod(F.xxhash64(F.lit(seed), "series", k), last + 1).cast("int"))
+    starts = F.transform(tries, lambda k: F.pmod(series_seed(seed, "series", k), last + 1).cast("int"))
     apart = lambda taken, s: F.forall(taken, lambda t: F.abs(t - s) >= block_size)
     step = lambda taken, s: F.when((F.size(taken) < n_blocks) & apart(taken, s), F.concat(taken, F.array(s))).otherwise(taken)
     placed = n.withColumn("tries", starts).withColumn("taken", F.aggregate("tries", F.array().cast("array<int>"), step))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .masking import series_seed
+
 
 def whole():
     return Window.partitionBy("series")
@@ -75,5 +77,5 @@ def mask_pointwise(long: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     """Marks exactly round-half-even(ratio * n) positions of each series, whatever the partitioning."""
     if not 0 <= ratio <= 1:
         raise ValueError("ratio must be in [0, 1]")
-    rank = F.row_number().over(whole().orderBy(F.xxhash64(F.lit(seed), "series", "pos"), "pos"))
+    rank = F.row_number().over(whole().orderBy(series_seed(seed, "series", "pos"), "pos"))
     return long.withColumn("is_masked", rank <= F.bround(F.lit(ratio) * F.count("*").over(whole())))

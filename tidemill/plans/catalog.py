@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import forecast, leaderboard, missing, scaling, shape
 
-from . import more, rolling, wider
+from . import draws, more, rolling, wider
 from .common import GRID, HORIZON, SCORES, SEASON, grid, model_scores, rounded, split
 
 
@@ -55,7 +55,6 @@ QUERIES = {
     "d10_fill_seasonal": _fill("seasonal", SEASON),
     "d9_gap_islands": lambda s, d: missing.gap_islands(grid(s, d)),
     "d12_missing_summary": lambda s, d: rounded(missing.missing_summary(grid(s, d))),
-    "e1_mask_pointwise": lambda s, d: missing.mask_pointwise(grid(s, d), 0.3, 7).groupBy("series").agg(F.count_if("is_masked").alias("n_masked")),
     "f1_test_windows": lambda s, d: forecast.test_windows(grid(s, d), 100, HORIZON),
     "g1_standard_scale": lambda s, d: rounded(scaling.standard_scale(grid(s, d)).select("series", "pos", "scaled")),
     "g2_minmax_scale": lambda s, d: rounded(scaling.minmax_scale(grid(s, d)).select("series", "pos", "scaled")),
@@ -89,7 +88,6 @@ SELECT series, pos, round(coalesce(y, v0 + (v1 - v0) * (pos - p0) / (p1 - p0), v
     "d10_fill_seasonal": GRID + f"SELECT series, pos, round(coalesce(y, last_value(y IGNORE NULLS) OVER (PARTITION BY series, pos % {SEASON} ORDER BY pos ROWS UNBOUNDED PRECEDING), y_hat), 6) AS y_hat FROM f",
     "d9_gap_islands": GRID + ", i AS (SELECT series, pos, pos - row_number() OVER (PARTITION BY series ORDER BY pos) AS k FROM g WHERE y IS NULL) SELECT series, min(pos) AS gap_start, max(pos) AS gap_end, count(*) AS gap_len FROM i GROUP BY series, k",
     "d12_missing_summary": GRID + "SELECT series, count(*) AS n, count(*) FILTER (WHERE y IS NULL) AS n_missing, round(avg(CASE WHEN y IS NULL THEN 1.0 ELSE 0.0 END), 6) AS ratio FROM g GROUP BY series",
-    "e1_mask_pointwise": GRID + "SELECT series, CAST(round_even(0.3 * n, 0) AS BIGINT) AS n_masked FROM m",
     "f1_test_windows": GRID + f"SELECT series, CAST(w AS INTEGER) AS \"window\", CAST(n - 100 + w * {HORIZON} AS INTEGER) AS cutoff FROM m, range(0, {100 // HORIZON}) AS r(w) WHERE n - 100 + w * {HORIZON} > 0",
     "g1_standard_scale": GRID + "SELECT series, pos, round((y - avg(y) OVER w) / CASE WHEN stddev_pop(y) OVER w = 0 THEN 1e-5 ELSE stddev_pop(y) OVER w END, 6) AS scaled FROM g WINDOW w AS (PARTITION BY series)",
     "g2_minmax_scale": GRID + "SELECT series, pos, round((y - min(y) OVER w) / (max(y) OVER w - min(y) OVER w + 1e-8), 6) AS scaled FROM g WINDOW w AS (PARTITION BY series)",
@@ -108,5 +106,5 @@ SELECT model, round(gmean_ratio, 6) AS gmean_ratio, round(avg_rank, 6) AS avg_ra
     "j9_win_rate": SCORES + "SELECT a.model, b.model AS other, round(100 * avg(CASE WHEN a.score < b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END), 6) AS win_rate FROM sc a JOIN sc b ON a.dataset = b.dataset GROUP BY 1, 2",
 }
 
-QUERIES |= more.QUERIES | wider.QUERIES | rolling.QUERIES
-ORACLE_SQL |= more.ORACLE_SQL | wider.ORACLE_SQL | rolling.ORACLE_SQL
+QUERIES |= more.QUERIES | wider.QUERIES | rolling.QUERIES | draws.QUERIES
+ORACLE_SQL |= more.ORACLE_SQL | wider.ORACLE_SQL | rolling.ORACLE_SQL | draws.ORACLE_SQL

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators import covariates, evaluation, forecast, leaderboard, masking, missing
+from tidemill.operators import covariates, evaluation, forecast, leaderboard, missing
 
 from .common import GRID, HORIZON, SCORES, grid, model_scores, rounded, split
 
@@ -122,9 +122,6 @@ QUERIES = {
     "b16_assemble_covariates": assembled,
     "b19_sparse_covariates": lambda s, d: covariates.sparse_covariates(order_counts(s, d)[1], 3).select("series", "pos", "x"),
     "d11_fill_by_covariate": lambda s, d: rounded(covariates.fill_by_covariate(*order_counts(s, d)).select("series", "pos", "y_hat"), 2),
-    "e3_mask_blocks": lambda s, d: masking.mask_blocks(grid(s, d), 2, 48, 7).groupBy("series").agg(F.count_if("is_masked").alias("n_masked")),
-    "e4_mask_mixed": lambda s, d: masking.mask_mixed(grid(s, d), 2, 24, 0.1, 7).groupBy("series").agg(F.count_if("is_masked").alias("n_masked")),
-    "e7_mask_contiguous_patches": lambda s, d: masking.mask_contiguous_patches(grid(s, d), 8, 3, 0.4, 7).groupBy("series").agg(F.count_if("is_masked").alias("n_masked")),
     "g5_scale_covariates": lambda s, d: rounded(covariates.scale_covariates(order_counts(s, d)[1], 2000).select("series", "pos", "scaled")),
     "h5_level_keys": lambda s, d: evaluation.level_keys(pred_truth(s, d)[0]).select("series", "step", "q", "side", "interval"),
     "h9_point_estimate": lambda s, d: rounded(evaluation.point_estimate(pred_truth(s, d)[0]), 5),
@@ -150,9 +147,6 @@ ORACLE_SQL = {
     "b16_assemble_covariates": ORDERS + "SELECT series, 'orders' AS name, pos >= 2000 AS known_future, count(*) AS n, sum(x) AS total FROM tg GROUP BY ALL",
     "b19_sparse_covariates": ORDERS + "SELECT series, pos, CASE WHEN pos % 3 = 2 THEN x END AS x FROM tg",
     "d11_fill_by_covariate": ORDERS + ", r AS (SELECT series, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM tg GROUP BY 1) SELECT series, pos, round(coalesce(y, a + b * x), 2) AS y_hat FROM tg JOIN r USING (series)",
-    "e3_mask_blocks": GRID + "SELECT series, CAST(96 AS BIGINT) AS n_masked FROM m",
-    "e4_mask_mixed": GRID + "SELECT series, CAST(48 + greatest(1, round_even(0.1 * n, 0)) AS BIGINT) AS n_masked FROM m",
-    "e7_mask_contiguous_patches": GRID + "SELECT series, CAST(24 * greatest(1, round_even((n // 8) * 0.4 / 3, 0)) AS BIGINT) AS n_masked FROM m",
     "g5_scale_covariates": ORDERS + "SELECT series, pos, round((x - avg(x) FILTER (WHERE pos >= 2000) OVER w) / (stddev_pop(x) FILTER (WHERE pos >= 2000) OVER w + 1e-7), 6) AS scaled FROM tg WINDOW w AS (PARTITION BY series)",
     "h5_level_keys": PRED + "SELECT series, step, q, CASE WHEN q < 0.5 THEN 'lo' ELSE 'hi' END AS side, CASE WHEN q = 0.5 THEN 0 ELSE 80 END::INTEGER AS interval FROM p",
     "h9_point_estimate": PRED + "SELECT series, step, round(avg(y_hat), 5) AS y_hat FROM p GROUP BY 1, 2",
