@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .missing import impute
-from .rolling import z_value
-
+from .rolling import LEVELS, checked_levels, z_value
 
 
 def test_windows(long: DataFrame, test_length: int, horizon: int) -> DataFrame:
@@ -40,6 +39,17 @@ def naive_quantiles(long: DataFrame, horizon: int, levels=(0.1, 0.5, 0.9)) -> Da
     return rows.select("series", "step", F.col("p.q").alias("q"), (F.col("last") + F.col("p.z") * F.col("sigma") * F.sqrt("step")).alias("y_hat"))
 
 
+def seasonal_naive_quantiles(long: DataFrame, horizon: int, season: int, levels: list[float] = LEVELS) -> DataFrame:
+    """(series, step, q, y_hat): :func:`seasonal_naive` plus z * sigma * the root of the seasons begun, sigma the root mean
+    square of seasonal differences of the gap-filled series (0 if it is not longer than a season)."""
+    d = F.col("y_hat") - F.lag("y_hat", season).over(Window.partitionBy("series").orderBy("pos"))
+    sigma = impute(long, "locf").withColumn("d", d).groupBy("series").agg(F.coalesce(F.sqrt(F.avg(F.col("d") * F.col("d"))), F.lit(0.0)).alias("sigma"))
+    pairs = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(z_value(q)).alias("z")) for q in checked_levels(levels)])
+    rows = seasonal_naive(long, horizon, season).join(sigma, "series").withColumn("p", F.explode(pairs))
+    seasons = F.floor((F.col("step") - 1) / season) + 1
+    return rows.select("series", "step", "p.q", (F.col("y_hat") + F.col("p.z") * F.col("sigma") * F.sqrt(seasons)).alias("y_hat"))
+
+
 def seasonal_error(context: DataFrame, season: int) -> DataFrame:
     """Mean absolute seasonal difference of the observed values, gaps closed first; NULL if zero or too short."""
     dense = context.filter("y is not null").withColumn("d", F.abs(F.col("y") - F.lag("y", season).over(Window.partitionBy("series").orderBy("pos"))))
