@@ -51,7 +51,7 @@ l AS (SELECT c.series, pos, y, a + b * x AS line FROM c JOIN r ON r.series = c.s
 """
 
 QUERIES = {
-    "d8_impute_quantiles": lambda s, d: rounded(masked(s, d)[0], 5),
+    "d8_impute_quantiles": lambda s, d: rounded(masked(s, d)[0], 8),
     "d8_impute_by_completed_covariate": by_covariate,
     "d8_reconstruct_everywhere": line_everywhere,
     "i12_masked_quantile_eval": lambda s, d: rounded(reconstruct.masked_quantile_eval(*masked(s, d), SEASON), 5),
@@ -59,7 +59,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "d8_impute_quantiles": QUANTILES + "SELECT series, pos, q, round(y_hat, 5) AS y_hat FROM pr",
+    "d8_impute_quantiles": QUANTILES + "SELECT series, pos, q, round(y_hat, 8) AS y_hat FROM pr",
     "d8_impute_by_completed_covariate": ORDERS
     + f""", s AS (SELECT series, pos, y, CASE WHEN pos % 3 = 2 THEN x END AS x FROM tg), n AS ({_between("s", "x")}), c AS (SELECT series, pos, y, coalesce(x, {_LINEAR}) AS x FROM n), {_LINES},
 e AS (SELECT *, sqrt(avg((y - line) * (y - line)) OVER (PARTITION BY series)) AS s FROM l), {_Z} SELECT series, pos, q, round(coalesce(y, line + z * s), 2) AS y_hat FROM e CROSS JOIN z""",
