@@ -67,3 +67,21 @@ def test_mask(spark):
 def test_op6_on_table(spark):
     for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(op6_secret_scan(spark, "/root/testdata/sf0.01"), "doc_id").collect():
         assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) == brute(r.text or "")
+
+
+def test_long_candidates_end_and_are_whole(spark):
+    import random
+
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    random_ = "".join(rng.choice(letters) for _ in range(60_000))
+    late = "ab1" * 3000 + "q9Zx7Lm2Vb8Kt4Rw6Yp1Nc3" + "ab1" * 3000
+    texts = ["ab/" * 2000 + "ab", "ab/12_" * 180_000 + "x", "CamelCase" * 120_000, "CamelCase/" * 100_000 + "A", random_, late, "0123456789abcdef" * 60_000, "0123456789ABCDEF" * 6_000, "Ab1/" * 9_000]
+    # Around the places where pieces meet: the only window with high entropy lies across them.
+    texts += ["a1" * ((secrets.PIECE + d) // 2) + "q9Zx7Lm2Vb8Kt4Rw6Yp1" + "a1" * 50 for d in (-20, -10, 0, 10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in secrets.digest(secrets.scan_secrets(docs)).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == brute(t), t[:40]
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(docs).collect()}
+    assert masked[1] == texts[1] and masked[4] == "[secret]" and masked[6] == "[secret]"

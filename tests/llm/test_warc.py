@@ -47,3 +47,22 @@ def test_chain_jumps_over_many_runs(spark):
     rows = [("f", k, k + 10) for k in range(0, 400, 10)] + [("f", k + 5, k + 25 if k % 20 else k + 7) for k in range(0, 400, 10)] + [("g", 3, 9)]
     got = warc.chain(spark.createDataFrame(rows, "file string, offset long, successor long")).collect()
     assert sorted(r.offset for r in got) == list(range(0, 400, 10))
+
+
+def test_repeated_ids_with_equal_and_other_payloads(spark):
+    p, q, r = "p" * 120, "q" * 130, "r" * 140
+    rows = [(1, "u", p), (5, "u", p), (5, "u", q), (2, "u", r), (6, "u", p), (6, "u", r), (6, "u", r), (None, "u", q), (2, "u", "short"), (2, "u", None)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_sql_on_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    from tidemill.llm.queries import OP4_SQL, op4_warc
+
+    p, q, r = "p" * 120, "é" * 130, "r" * 140
+    rows = [(1, "u", p), (5, "u", p), (5, "u", q), (2, "u", r), (6, "u", p), (6, "u", r), (6, "u", r), (7, "u", "short"), (7, "u", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert sorted(map(tuple, op4_warc(spark, str(tmp_path)).collect()), key=str) == sorted(con.sql(OP4_SQL).fetchall(), key=str)

@@ -32,13 +32,16 @@ ALLOWED = [
     r"(?<![A-Za-z0-9])[A-Za-z0-9]*?(?:EXAMPLE|example|SAMPLE|XXXX|xxxx|0000000000|1234567890)[A-Za-z0-9]*",
 ]
 #: Whole candidates that are none: dates and counters, paths of plain words, words in one case, words run together.
+#: Repeated groups are possessive (their parts have no letter in common), so that the matcher loops and never recurses.
 PLAIN = [
-    r"^[0-9/_=+-]+$",
-    r"^[a-z]+([/_-]+([a-z]+|[0-9]{1,4}))+$",
-    r"^[^0-9A-Z]+$",
-    r"^[^0-9a-z]+$",
-    r"^[/_=+-]*[a-z]*([A-Z][a-z]{2,}[/_=+-]*)+$",
+    r"^[0-9/_=+-]++$",
+    r"^[a-z]++(?:[/_-]++(?:[a-z]++|[0-9]{1,4}+))++$",
+    r"^[^0-9A-Z]++$",
+    r"^[^0-9a-z]++$",
+    r"^[/_=+-]*+[a-z]*+(?:[A-Z][a-z]{2,}+[/_=+-]*+)++$",
 ]
+#: Characters by which the pieces of a long candidate advance; pieces overlap, so that each window lies in one whole.
+PIECE = 4096
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
@@ -66,23 +69,44 @@ def spans(text: Column, pattern: str, rank: int, kind: str, group: int = 0, leas
     return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(steps, start, step, lambda s: s["found"])).otherwise(F.array().cast(SPAN))
 
 
-def least_entropy_sum(candidate: Column) -> Column:
-    """Least sum of c*log2(c) over the windows of a candidate, from incremental counts; low means high entropy."""
-    code = lambda k: F.ascii(F.substring(candidate, k, 1))
+def least_entropy_sum(piece: Column) -> Column:
+    """Least sum of c*log2(c) over the windows of a string, from incremental counts; low means high entropy.
+
+    The counts of the 128 codes are eight bits each in 16 numbers, so a step rewrites 16 numbers; it reads the entering and
+    the leaving code from the zipped array and never goes back to the string."""
+    codes = F.transform(F.slice(F.split(piece, ""), 1, F.char_length(piece)), lambda c: F.ascii(c))
+    leaving = F.slice(F.concat(F.array_repeat(F.lit(-1), WINDOW), codes), 1, F.char_length(piece))
+    moves = F.zip_with(codes, leaving, lambda i, o: F.struct(i.alias("enter"), o.alias("leave")))
     gain = F.array(*[F.lit(part(c + 1) - part(c)).cast("bigint") for c in range(WINDOW + 1)])
     start = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0).cast("bigint").alias("sum"), F.lit(part(WINDOW)).cast("bigint").alias("best")
+        F.array_repeat(F.lit(0).cast("bigint"), 16).alias("counts"), F.lit(0).cast("bigint").alias("sum"), F.lit(part(WINDOW)).cast("bigint").alias("best"), F.lit(1).alias("k")
     )
+    one = F.lit(1).cast("bigint")
+    bit = lambda code: F.call_function("shiftleft", one, code.bitwiseAND(F.lit(7)) * 8)
+    word = lambda code: F.shiftright(code, 3)
+
+    def count(counts, code):
+        return F.call_function("shiftright", F.get(counts, word(code)), code.bitwiseAND(F.lit(7)) * 8).bitwiseAND(F.lit(255)).cast("int")
 
-    def step(state, k):
-        entering, leaving = code(k), F.when(k > WINDOW, code(k - WINDOW)).otherwise(F.lit(-1))
-        left = F.when(leaving >= 0, state["sum"] - F.get(gain, F.get(state["counts"], leaving) - 1)).otherwise(state["sum"])
-        before = F.get(state["counts"], entering) - F.when(entering == leaving, 1).otherwise(0)
+    def step(state, x):
+        full = x["leave"] >= 0
+        left = F.when(full, state["sum"] - F.get(gain, count(state["counts"], x["leave"]) - 1)).otherwise(state["sum"])
+        before = count(state["counts"], x["enter"]) - F.when(x["enter"] == x["leave"], 1).otherwise(0)
         now = left + F.get(gain, before)
-        counts = F.transform(state["counts"], lambda c, i: (c + F.when(i == entering, 1).otherwise(0) - F.when(i == leaving, 1).otherwise(0)).cast("int"))
-        return F.struct(counts.alias("counts"), now.alias("sum"), F.when(k >= WINDOW, F.least(state["best"], now)).otherwise(state["best"]).alias("best"))
+        zero = F.lit(0).cast("bigint")
+        counts = F.transform(
+            state["counts"], lambda c, i: c + F.when(i == word(x["enter"]), bit(x["enter"])).otherwise(zero) - F.when(full & (i == word(x["leave"])), bit(x["leave"])).otherwise(zero)
+        )
+        return F.struct(counts.alias("counts"), now.alias("sum"), F.when(state["k"] >= WINDOW, F.least(state["best"], now)).otherwise(state["best"]).alias("best"), (state["k"] + 1).alias("k"))
+
+    return F.aggregate(moves, start, step, lambda s: s["best"])
+
 
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(candidate)), start, step, lambda s: s["best"])
+def least_of_pieces(candidate: Column) -> Column:
+    """:func:`least_entropy_sum` of a candidate of any length, by overlapping pieces of bounded length."""
+    length = F.char_length(candidate)
+    firsts = F.sequence(F.lit(0), F.floor((length - WINDOW) / PIECE).cast("int"))
+    return F.array_min(F.transform(firsts, lambda p: least_entropy_sum(F.substring(candidate, p * PIECE + 1, F.lit(PIECE + WINDOW - 1)))))
 
 
 def blanked(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
@@ -106,7 +130,7 @@ def entropy_spans(text: Column) -> Column:
         ok = F.lit(True)
         for pattern in PLAIN:
             ok = ok & ~F.regexp_like(w, F.lit(pattern))
-        return F.when(ok, least_entropy_sum(w) <= limit).otherwise(False)
+        return F.when(ok, least_of_pieces(w) <= limit).otherwise(False)
 
     judged = F.zip_with(found, words, lambda s, w: F.struct(s.alias("span"), secret(w).alias("secret")))
     return F.transform(F.filter(judged, lambda x: x["secret"]), lambda x: x["span"])

@@ -23,12 +23,12 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Len
 
 
 def decide(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
-    """Revisits only: id, digest, and the id of the response that holds the payload."""
+    """Revisits only: id and digest (an id may repeat with other payloads), and the id of the response that holds the payload."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     digests = cut(pages.select(F.col(id_col).alias("id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes")).filter(F.col("bytes") >= LEAST_SHARED), "warc-digests")
     groups = digests.groupBy("digest", "bytes").agg(F.min("id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null").drop("n")
     groups = cut(groups, "warc-groups")
-    return cut(digests.join(sized(groups), ["digest", "bytes"]).filter(~F.col("id").eqNullSafe(F.col("refers_to"))).select(F.col("id").alias("_revisit"), "refers_to").distinct(), "warc-revisits")
+    return cut(digests.join(sized(groups), ["digest", "bytes"]).filter(~F.col("id").eqNullSafe(F.col("refers_to"))).select(F.col("id").alias("_revisit"), F.col("digest").alias("_of"), "refers_to").distinct(), "warc-revisits")
 
 
 def record(page_id: Column, url: Column, payload: Column, refers_to: Column) -> Column:
@@ -56,11 +56,14 @@ def record(page_id: Column, url: Column, payload: Column, refers_to: Column) ->
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """One record per row.  Of rows with equal payloads of at least 100 bytes the smallest id is the response,
-    the others revisit it.  Null payloads are empty; a null id is written as ``none`` and only ever refers."""
+    the others revisit it.  Null payloads are empty; a null id is written as ``none`` and only ever refers.
+    Rows that repeat an id, with equal or other payloads, each get a record.  Ids are read back as whole numbers;
+    ids of other kinds are written, but come back null."""
     revisits = decide(pages, id_col, payload_col)
     joined = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.coalesce(F.col(payload_col), F.lit("")).alias("_payload"))
-    joined = joined.join(sized(revisits), F.col("_id").eqNullSafe(F.col("_revisit")), "left")
-    # A row that repeats an id but not its payload is no revisit of another payload's response.
+    # By id and digest: a row that repeats an id but not its payload is no revisit of another payload's response.
+    same = F.col("_id").eqNullSafe(F.col("_revisit")) & (F.col("_digest") == F.col("_of"))
+    joined = joined.withColumn("_digest", F.sha2("_payload", 256)).join(sized(revisits), same, "left")
     own = F.when(F.octet_length("_payload") >= LEAST_SHARED, F.col("refers_to"))
     joined.select(record(F.col("_id"), F.col("_url"), F.col("_payload"), own).alias("value")).write.option("lineSep", EOL + EOL).text(path)
 
