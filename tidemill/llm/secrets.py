@@ -150,12 +150,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     base = F.concat(*[spans(text, pattern if kind != "hex" else r"[0-9a-f]{24,}", k, kind, group, least) for k, (kind, pattern, group, least) in enumerate(BASE)])
     rows = rows.withColumn("base", base)
-    left = text
+    # A projection for each pattern: nested into one another, they would be copied into one expression of thousands of nodes.
+    rows = rows.withColumn("_left", F.when(F.regexp_like(text, F.lit(CANDIDATE)), text))
     for kind, pattern, group, least in BASE:
-        left = blanked(left, pattern if kind != "hex" else r"[0-9a-f]{24,}", group, least)
+        rows = rows.withColumn("_left", blanked(F.col("_left"), pattern if kind != "hex" else r"[0-9a-f]{24,}", group, least))
     for pattern in ALLOWED if allowed is None else allowed:
-        left = blanked(left, pattern)
-    rows = rows.withColumn("_left", F.when(F.regexp_like(text, F.lit(CANDIDATE)), left))
+        rows = rows.withColumn("_left", blanked(F.col("_left"), pattern))
     extra = F.when(F.regexp_like("_left", F.lit(CANDIDATE)), entropy_spans(F.col("_left")))
     return rows.select(F.col("_id").alias(id_col), "base", F.concat("base", F.coalesce(extra, F.array().cast(SPAN))).alias("all_spans"))
 
