@@ -57,7 +57,7 @@ def test_against_exact_covariance(spark):
     x = (rng.normal(size=(400, 12)) @ np.diag(np.linspace(0.05, 2, 12)) + rng.normal(size=12) * 3).astype(np.float32)
     rows = [(k, v.tolist()) for k, v in enumerate(x)]
     check(whiten(frame(spark, rows)).collect(), rows)
-    large = [(k, [float(c) * 3_000 for c in v]) for k, v in rows[:60]]
+    large = [(k, [float(np.float32(c * 3_000)) for c in v]) for k, v in rows[:60]]
     check(whiten(frame(spark, large), most=3).collect(), large, most=3)
 
 

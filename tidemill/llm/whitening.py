@@ -40,7 +40,7 @@ def polar(a: np.ndarray) -> np.ndarray:
         y = (y + y.T) / 2
         least = min(1.0, least * (h + b * least**2) / (1 + c * least**2))
         moved, x = np.linalg.norm(y - x), y
-        if moved <= 10 * EPS ** (1 / 3) and abs(1 - least) < 10 * EPS:
+        if moved <= EPS ** (1 / 3) and abs(1 - least) < 10 * EPS:
             break
     return x
 
