@@ -18,11 +18,10 @@ def complete_covariates(covariates: DataFrame, method: str = "linear", season: i
 
 
 def covariate_lines(long: DataFrame, covariates: DataFrame) -> DataFrame:
-    """(series, pos, line): the mean over covariates of each one's least-squares line; a covariate that is missing there,
-    constant or never seen with a target does not count."""
-    pairs = covariates.join(long.filter("y is not null").select("series", "pos", "y"), ["series", "pos"])
-    fits = pairs.groupBy("series", "name").agg(F.regr_slope("y", "x").alias("_b"), F.regr_intercept("y", "x").alias("_a"))
-    return covariates.join(fits, ["series", "name"]).groupBy("series", "pos").agg(F.avg(F.col("_a") + F.col("_b") * F.col("x")).alias("line"))
+    """(series, pos, line): the joint least-squares fit on all of a series' covariates, where they are all there; constant ones do not count."""
+    from .regression import fit, lines
+
+    return lines(fit(long, covariates), covariates)
 
 
 def impute_quantiles(
@@ -31,7 +30,7 @@ def impute_quantiles(
 ) -> DataFrame:
     """(series, pos, q, y_hat) at every position of ``long`` (series, pos, y).
 
-    The middle is the covariates' line where there is one, else the method's value.  Its deviation is the root mean square
+    The middle is the joint fit on the covariates where there is one, else the method's value.  Its deviation is the root mean square
     of the line's residuals, else that of a random walk tied to the observed neighbours: sigma^2 (mean squared difference of
     neighbours over their distance) times d1 d2 / (d1 + d2), d the distances to them, or the distance to the only one.
     Without observed values all is 0.  ``keep_observed`` puts the observed value at every level; otherwise the line
