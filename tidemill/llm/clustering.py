@@ -197,17 +197,16 @@ def cluster_vectors(
             tables.drop(state)
         state = after
         told = spark.table(state)
-        change = told.filter("row is null").select("cluster", "moved", "scanned", F.posexplode("sums").alias("place", "part"))
-        change = change.groupBy("cluster", "place").agg(F.sum(F.col("part").cast("decimal(38,0)")).alias("part"), F.sum("moved").alias("moved"), F.sum("scanned").alias("scanned")).collect()
+        parts = [F.sum(F.get("sums", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in range(dim)]
+        change = told.filter("row is null").groupBy("cluster").agg(*parts, F.sum("moved").alias("moved"), F.sum("scanned").alias("scanned")).collect()
         radius = {r["cluster"]: r["radius"] for r in told.filter("row is not null").groupBy("cluster").agg(F.max("upper").alias("radius")).collect()}
         if log is not None:
-            log.append({"vectors": n, "scanned": sum(r["scanned"] for r in change if r["place"] == 0), "changed": told.filter("row is not null and was <> cluster").count()})
+            log.append({"vectors": n, "scanned": sum(r["scanned"] for r in change), "changed": told.filter("row is not null and was <> cluster").count()})
         if number == rounds:
             break
         for r in change:
-            sums[r["cluster"], r["place"]] += int(r["part"])
-            if r["place"] == 0:
-                counts[r["cluster"]] += r["moved"]
+            sums[r["cluster"]] += np.array([int(r[f"s{i}"]) for i in range(dim)], dtype=object)
+            counts[r["cluster"]] += r["moved"]
         new = np.array([[int(s) // int(counts[c]) for s in sums[c]] if counts[c] else centres[c].tolist() for c in range(len(centres))], dtype=np.int64)
         own, lose = drifts(centres.astype(np.float64), new.astype(np.float64), radius)
         centres = new
