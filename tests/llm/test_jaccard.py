@@ -137,3 +137,16 @@ def test_op10_on_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in op10_jaccard_join(spark, "/root/testdata/sf0.01").collect())
     assert got == brute([(r.doc_id, r.text) for r in table], 3, 90, 100)
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+
+    def copy(k):
+        w = list(base)
+        w[rng.randrange(120)] = f"z{k}"
+        return " ".join(w)
+
+    rows = [(None, copy(k)) for k in range(150)] + [(7, copy(k)) for k in range(150, 260)] + [(None, "apart " * 3), (7, "else where " * 4), (3, "q r s")]
+    assert run(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)

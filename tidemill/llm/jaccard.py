@@ -352,7 +352,7 @@ def _components_of(docs: DataFrame, words: int, num: int, den: int, id_col: str,
     members = cut(source.withColumn("check", F.xxhash64("text")).mapInArrow(describe, f"id {kind}, check bigint, n_shingles bigint, cls bigint"), "jaccard-members")
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, total // FLUSH)
-    classes = cut(members.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("first_id"), F.count("*").alias("n")), "jaccard-classes")
+    classes = cut(members.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("first_id"), F.min(F.struct("id", "check")).alias("speaker"), F.count("*").alias("n")), "jaccard-classes")
     packed = source.select("text").mapInArrow(cells, "bucket bigint, salt int, cells binary, classes binary")
     shared = cut(packed.groupBy("bucket", "salt").applyInPandas(meet, "cell bigint, cls bigint, pivot bigint"), "jaccard-cells")
     heads = shared.filter("cls = pivot").select("cell", "pivot")
@@ -361,8 +361,10 @@ def _components_of(docs: DataFrame, words: int, num: int, den: int, id_col: str,
     remove(shared)
 
     def texts(chosen: DataFrame) -> DataFrame:
-        speakers = cut(classes.join(chosen.distinct(), "cls").select("cls", F.col("first_id").alias("_speaker")), "jaccard-speakers")
-        return source.join(sized(speakers), F.col("id").eqNullSafe(F.col("_speaker"))).select("text", "cls")
+        # By id and text: other texts of a repeated or null id are not hashed for a class that is not theirs.
+        speakers = cut(classes.join(chosen.distinct(), "cls").select("cls", F.col("speaker.id").alias("_speaker"), F.col("speaker.check").alias("_said")), "jaccard-speakers")
+        spoken = source.withColumn("_check", F.xxhash64("text"))
+        return spoken.join(sized(speakers), F.col("id").eqNullSafe(F.col("_speaker")) & (F.col("_check") == F.col("_said"))).select("text", "cls")
 
     # Sketches drop the documents of a region that can't have a link in it, before their sets travel.
     sketches = cut(texts(regions.select("cls").union(regions.select("pivot"))).mapInArrow(sketches_of, "cls bigint, size bigint, sketch binary").dropDuplicates(["cls"]), "jaccard-sketches")
