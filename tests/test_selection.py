@@ -87,19 +87,7 @@ def test_windows_and_splits(spark):
     assert selection.split_series(many, 0.333).filter("is_validation").count() == 333
 
 
-def test_mixture_and_training_table(spark):
-    rows = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3), ("z", 4)], "source string, item_id long")
-    weights = spark.createDataFrame([("x", 3.0), ("y", 1.0), ("z", 0.0)], "source string, weight double")
-    got = training.sample_mixture(rows, weights, 200, 3).collect()
-    by = {}
-    for r in got:
-        by.setdefault(r.batch_id, set()).add(r.source)
-    assert len(got) == 600 and len(by) == 200 and all(len(s) == 1 for s in by.values())
-    assert 110 < sum(s == {"x"} for s in by.values()) < 190 and not any("z" in s for s in by.values())
-    items = packed(spark, [1.0, None, 3.0, 4.0], [1.0], [float(k) for k in range(50)])
-    for r in training.training_table(items, 10, 8, 3, patch=2).collect():
-        assert len(r.target) == len(r.pad_mask) == 8 and not any(p and (m or h) for p, m, h in zip(r.pad_mask, r.miss_mask, r.pred_mask))
-        assert all((t is None) == (p or m) for t, p, m in zip(r.target, r.pad_mask, r.miss_mask)) and r.item_id != "1"
+def test_tiles(spark):
     tiles = training.motif_tile(packed(spark, [1.0, None], [1.0]), 2, 5).collect()
     assert [r.target for r in tiles] == [[1.0, 0.0, 1.0, 0.0, 1.0]]
 

@@ -7,7 +7,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .masking import uniform
+from .masking import series_seed, uniform
 
 #: Buckets of the hash order: its offsets are one row per group and bucket.
 BUCKETS = 4096
@@ -162,12 +162,12 @@ def random_window(packed: DataFrame, most: int, least: int = 64, factor: Column
 
 
 def hash_order(rows: DataFrame, key: str, group: str | None = None, seed: int = 0) -> DataFrame:
-    """Adds ``index`` (0, 1, ... in hash order within ``group``, or over all rows) and ``total``.
+    """Adds ``index`` (0, 1, ... in the order of the keys' draws within ``group``, or over all rows) and ``total``.
 
     Rows are ranked within hash buckets only, and buckets by their counts, so that a large group is no single task's.  Rows
     of equal keys stand next to each other."""
-    rows = rows.withColumn("_group", F.col(group).cast("string") if group else F.lit("")).withColumn("_hash", F.xxhash64(F.lit(seed), F.col(key)))
-    rows = rows.withColumn("_bucket", F.shiftrightunsigned("_hash", 52))
+    rows = rows.withColumn("_group", F.col(group).cast("string") if group else F.lit("")).withColumn("_hash", series_seed(seed, key))
+    rows = rows.withColumn("_bucket", F.shiftright("_hash", 48))
     counts = rows.groupBy("_group", "_bucket").agg(F.count("*").alias("_c"))
     order = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.select(F.col("_group").alias("_g"), F.col("_bucket").alias("_b"), (F.sum("_c").over(order) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy("_group")).alias("total"))

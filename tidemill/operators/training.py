@@ -5,10 +5,10 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import evaluation, masking, selection, shape
+from . import evaluation, masking
 from .common import checkpointed
 from .missing import impute
 
@@ -18,29 +18,6 @@ def flatten_channels(packed: DataFrame) -> DataFrame:
     return packed.select("*", F.posexplode("target").alias("channel", "_target")).withColumn("target", F.col("_target")).drop("_target")
 
 
-def sample_mixture(rows: DataFrame, weights: DataFrame, n_batches: int, batch: int, seed: int = 0) -> DataFrame:
-    """``n_batches`` batches of ``batch`` rows, each from one ``source`` drawn by ``weight``; adds batch_id and slot.
-
-    The batches of a source go through its rows in hash order and start again at its end.  Sources and weights are few; one
-    row per slot is joined to the ordered rows."""
-    spark = rows.sparkSession
-    shares = [(r["source"], float(r["weight"])) for r in weights.orderBy("source").collect()]
-    total = sum(w for _, w in shares)
-    if total <= 0:
-        raise ValueError("weights must have a positive sum")
-    low, picks = 0.0, []
-    for source, w in shares:
-        picks.append(F.when(F.col("u") < (low := low + w / total), F.lit(source)))
-    bounds = F.coalesce(*picks, F.lit(max(shares, key=lambda s: s[1])[0]))
-    draws = spark.range(n_batches).withColumnRenamed("id", "batch_id").withColumn("u", masking.uniform(seed, "batch_id")).withColumn("source", bounds)
-    turns = selection.hash_order(draws.select("batch_id", "source"), "batch_id", "source", seed).withColumnRenamed("index", "turn").drop("total")
-    slots = turns.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(batch - 1))))
-    placed = selection.hash_order(rows, "item_id", "source", seed + 1)
-    totals = placed.groupBy("source").agg(F.max("total").alias("_n"))
-    slots = slots.join(F.broadcast(totals), "source").withColumn("index", F.pmod(F.col("turn") * batch + F.col("slot"), F.col("_n")))
-    return slots.select("source", "index", "batch_id", "slot").join(placed.drop("total"), ["source", "index"]).drop("index")
-
-
 def motif_tile(packed: DataFrame, period: int, length: int, seed: int = 0, key: str = "item_id") -> DataFrame:
     """A drawn window of ``period`` values, missing and infinite ones as 0, repeated to ``length``; shorter items go."""
     rows = packed.filter(F.size("target") >= period)
@@ -50,22 +27,6 @@ def motif_tile(packed: DataFrame, period: int, length: int, seed: int = 0, key:
     return rows.withColumn("target", F.slice(F.flatten(F.array_repeat(motif, -(-length // period))), 1, length))
 
 
-def training_table(packed: DataFrame, n: int, length: int, min_past: int, prefix: Column | None = None, stride: int = 1, patch: int = 8, seed: int = 0) -> DataFrame:
-    """``n`` items drawn by data set weight, a drawn window of each, down-sampled and left-padded to ``length``, with masks:
-    (dataset, item_id, target, pad_mask, miss_mask, pred_mask).  ``pred_mask`` hides a drawn run of about 40 % of the patches."""
-    known = packed.filter(F.size("target") >= min_past)
-    weights = evaluation.dataset_weights(evaluation.corpus_inventory(known, min_past), prefix if prefix is not None else F.lit(None).cast("string"))
-    windows = selection.random_window(evaluation.sample_series(known, weights, n, seed), length, min(min_past, length), F.lit(stride), seed)
-    padded = shape.left_pad(shape.downsample(windows, stride), length)
-    patches = max(1, length // patch)
-    hidden = max(1, round(0.4 * patches))
-    first = F.floor(masking.uniform(seed + 2, "item_id") * (patches - hidden + 1)).cast("int") * patch
-    # The NULLs of the padding are not missing values.
-    out = padded.withColumn("miss_mask", F.transform("target", lambda v, i: v.isNull() & ~F.get("pad_mask", i))).withColumn("_first", first)
-    out = out.withColumn("pred_mask", F.transform("target", lambda v, i: (i >= F.col("_first")) & (i < F.col("_first") + hidden * patch) & ~F.get("pad_mask", i)))
-    return out.select("dataset", "item_id", "target", "pad_mask", "miss_mask", "pred_mask")
-
-
 def rollout(context: DataFrame, forecaster: Callable[[DataFrame, int], DataFrame], horizon: int, chunk: int) -> DataFrame:
     """Horizons beyond ``chunk``: ``forecaster(context, h)`` gives (series, step, q, y_hat), whose mean over the levels is the next
     chunk's context.  Each chunk is checkpointed, so plans do not grow."""

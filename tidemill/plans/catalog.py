@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import forecast, leaderboard, missing, scaling, shape
 
-from . import draws, more, reconstruct, rolling, wider
+from . import calendars, draws, fits, more, reconstruct, rolling, samples, wider
 from .common import GRID, HORIZON, SCORES, SEASON, grid, model_scores, rounded, split
 
 
@@ -106,5 +106,5 @@ SELECT model, round(gmean_ratio, 6) AS gmean_ratio, round(avg_rank, 6) AS avg_ra
     "j9_win_rate": SCORES + "SELECT a.model, b.model AS other, round(100 * avg(CASE WHEN a.score < b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END), 6) AS win_rate FROM sc a JOIN sc b ON a.dataset = b.dataset GROUP BY 1, 2",
 }
 
-QUERIES |= more.QUERIES | wider.QUERIES | rolling.QUERIES | draws.QUERIES | reconstruct.QUERIES
-ORACLE_SQL |= more.ORACLE_SQL | wider.ORACLE_SQL | rolling.ORACLE_SQL | draws.ORACLE_SQL | reconstruct.ORACLE_SQL
+QUERIES |= more.QUERIES | wider.QUERIES | rolling.QUERIES | draws.QUERIES | reconstruct.QUERIES | calendars.QUERIES | fits.QUERIES | samples.QUERIES
+ORACLE_SQL |= more.ORACLE_SQL | wider.ORACLE_SQL | rolling.ORACLE_SQL | draws.ORACLE_SQL | reconstruct.ORACLE_SQL | calendars.ORACLE_SQL | fits.ORACLE_SQL | samples.ORACLE_SQL

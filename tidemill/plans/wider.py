@@ -9,6 +9,7 @@ from tidemill.operators import evaluation, forecast, layout, missing, reports, s
 from tidemill.sources import series as sources
 
 from .common import GRID, HORIZON, SCORES, grid, model_scores, rounded
+from .draws import draw
 from .more import CHANNELS, ORDERS, PRED, USERS, channels, order_counts, pred_truth, user_series
 
 DOUBLES = "transform(embedding, v -> cast(v as double))"
@@ -74,8 +75,8 @@ def kept_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(selection.keep_observed(pred.withColumnRenamed("step", "pos"), truth.withColumnRenamed("step", "pos")).select("series", "pos", "q", "y_hat"), 5)
 
 
-def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.split_series(user_series(spark, sf_dir), 0.2).agg(F.count_if("is_validation").alias("n_validation"), F.count_if(~F.col("is_validation")).alias("n_train"))
+def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.split_series(user_series(spark, sf_dir), 0.2).select("item_id", "is_validation")
 
 
 def masked_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,12 +117,6 @@ def scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports.score_scatter(window_metrics(spark, sf_dir), kinds, ["MASE", "CRPS"]))
 
 
-def mixture_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = user_series(spark, sf_dir).select(F.col("dataset").alias("source"), "item_id", F.size("target").alias("n"))
-    weights = rows.groupBy("source").agg(F.sum("n").cast("double").alias("weight"))
-    return training.sample_mixture(rows, weights, 50, 8)
-
-
 QUERIES = {
     "a6_scale_factor": lambda s, d: rounded(sources.scaled_predictions(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderpriority").alias("dataset"), "o_orderkey", F.col("o_totalprice").alias("y_hat")))),
     "a7_run_summary": lambda s, d: rounded(sources.run_summary(window_metrics(s, d), ["MASE", "CRPS"])),
@@ -146,7 +141,7 @@ QUERIES = {
     "f4_rolling_task_windows": lambda s, d: selection.rolling_task_windows(grid(s, d), HORIZON, 10, 100),
     "f5_validation_cut": validation_cut,
     "f6_future_for_cut": future_roles,
-    "f9_split_series": split_counts,
+    "f9_split_series": split_rows,
     "g3_masked_instance_scale": masked_scale,
     "g6_display_scale": display,
     "h7_complete_lookback": lambda s, d: rounded(forecast.seasonal_naive(training.complete_lookback(grid(s, d)), HORIZON, 24)),
@@ -159,8 +154,6 @@ QUERIES = {
     "j12_reference_score": lambda s, d: rounded(reports.reference_score(reports.dataset_scores(window_metrics(s, d), ["model", "dataset"], ["MASE", "CRPS"]))),
     "j14_align": lambda s, d: rounded(reports.align(evaluation.point_estimate(pred_truth(s, d)[0]), pred_truth(s, d)[1], ["series", "step"]), 5),
     "k3_flatten_channels": lambda s, d: rounded(training.flatten_channels(items(s, d)).select("item_id", "channel", F.get("target", F.lit(31)).alias("last_value"))),
-    "k7_sample_mixture": mixture_counts,
-    "k9_training_table": lambda s, d: training.training_table(user_series(s, d), 64, 16, 3),
     "p3_named_metrics": lambda s, d: rounded(training.evaluate(missing.impute(grid(s, d).withColumn("truth", F.col("y")).withColumn("y", F.when(F.pmod("pos", F.lit(3)) != 1, F.col("y"))), "mean").filter(F.pmod("pos", F.lit(3)) == 1).withColumn("y", F.col("truth")), ["mae", "rmse", "nmae"], ["series"])),
 }
 
@@ -193,7 +186,7 @@ ORACLE_SQL = {
     "f4_rolling_task_windows": GRID + f"SELECT series, CAST(w AS INTEGER) AS \"window\", CAST(n - {HORIZON * 10} + w * {HORIZON} AS INTEGER) AS cutoff FROM m, range(0, 10) AS r(w) WHERE n - {HORIZON * 10} + w * {HORIZON} >= 100",
     "f5_validation_cut": "WITH e AS (SELECT user_id AS item_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT item_id, CAST(any_value(n) - 2 AS INTEGER) AS cut, CAST(count(*) FILTER (WHERE pos < n - 2 AND pos >= n - 8) AS INTEGER) AS n_context, round(sum(value) FILTER (WHERE pos < n - 2 AND pos >= n - 8), 6) AS context_sum, round(sum(value) FILTER (WHERE pos >= n - 2), 6) AS future_sum FROM e WHERE n >= 5 GROUP BY 1",
     "f6_future_for_cut": ORDERS + f"SELECT series, 'price' AS name, 0 AS role, pos - 1999 AS step, round(y, 2) AS label, NULL::DOUBLE AS known FROM tg WHERE pos BETWEEN 2000 AND {1999 + HORIZON} UNION ALL SELECT series, 'orders', 2, pos - 1999, NULL, x FROM tg WHERE pos BETWEEN 2000 AND {1999 + HORIZON}",
-    "f9_split_series": USERS + "SELECT CAST(floor(count(*) * 0.2) AS BIGINT) AS n_validation, count(*) - CAST(floor(count(*) * 0.2) AS BIGINT) AS n_train FROM u",
+    "f9_split_series": USERS + f"SELECT item_id, row_number() OVER (ORDER BY {draw(0, 'item_id')}, item_id) <= floor(count(*) OVER () * 0.2) AS is_validation FROM u",
     "g3_masked_instance_scale": GRID + ", st AS (SELECT series, avg(y) AS a, stddev_pop(y) AS b FROM g WHERE pos % 3 <> 1 GROUP BY 1) SELECT series, pos, round((y - a) / CASE WHEN b > 1e-5 THEN b ELSE 1.0 END, 6) AS scaled FROM g JOIN st USING (series)",
     "g6_display_scale": GRID + ", st AS (SELECT series, avg(y) AS a, stddev_pop(y) AS b FROM g WHERE pos < 200 GROUP BY 1) SELECT series, pos, round((y - a) / (b + 1e-6), 6) AS y FROM g JOIN st USING (series)",
     "h7_complete_lookback": GRID + f", {SQL_LINEAR} SELECT series, CAST(pos - (n - 24) + 1 AS INTEGER) AS step, round(coalesce(y, v0 + (v1 - v0) * (pos - p0) / (p1 - p0), v0, v1, 0.0), 6) AS y_hat FROM x JOIN m USING (series) WHERE pos >= n - 24",
