@@ -18,7 +18,14 @@ def back():
 
 
 def ahead():
-    return whole().orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    """From the series' end back to here: what :func:`first_ahead` takes its value from.  (A frame that runs from a row to the end would be gone
+    through anew for every row.)"""
+    return whole().orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def first_ahead(value: Column) -> Column:
+    """The first value that is there, from here on."""
+    return F.last(value, True).over(ahead())
 
 
 def missing_summary(long: DataFrame) -> DataFrame:
@@ -34,13 +41,13 @@ def gap_islands(long: DataFrame) -> DataFrame:
 
 def locf(y: Column) -> Column:
     """Last value carried on; a leading gap takes the first observed value, an empty series 0."""
-    return F.coalesce(y, F.last(y, True).over(back()), F.first(y, True).over(ahead()), F.lit(0.0))
+    return F.coalesce(y, F.last(y, True).over(back()), first_ahead(y), F.lit(0.0))
 
 
 def linear(y: Column) -> Column:
     """By position between the neighbours; edges are held, an empty series is 0."""
     spot = F.when(y.isNotNull(), F.struct(F.col("pos").alias("p"), y.alias("v")))
-    a, b = F.last(spot, True).over(back()), F.first(spot, True).over(ahead())
+    a, b = F.last(spot, True).over(back()), first_ahead(spot)
     between = a["v"] + (b["v"] - a["v"]) * (F.col("pos") - a["p"]) / (b["p"] - a["p"])
     return F.coalesce(y, between, a["v"], b["v"], F.lit(0.0))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .evaluation import level, pinball
 from .forecast import seasonal_error
-from .missing import ahead, back, impute, whole
+from .missing import back, first_ahead, impute, whole
 from .rolling import LEVELS, checked_levels, z_value
 
 
@@ -40,7 +40,7 @@ def impute_quantiles(
     wanted = checked_levels(levels)
     earlier = Window.partitionBy("series").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.when(F.col("y").isNotNull(), F.col("pos"))
-    before, after = F.last(seen, True).over(back()) - F.col("pos"), F.first(seen, True).over(ahead()) - F.col("pos")
+    before, after = F.last(seen, True).over(back()) - F.col("pos"), first_ahead(seen) - F.col("pos")
     neighbour = F.last(F.when(F.col("y").isNotNull(), F.struct("pos", "y")), True).over(earlier)
     rows = impute(long.select("series", "pos", "y"), method, season).withColumn("_d1", -before).withColumn("_d2", after).withColumn("_last", neighbour)
     jump = F.col("y") - F.col("_last.y")

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from . import forecast as baselines
 from . import reconstruct, shape
+from .common import checkpointed
 from .missing import impute
-from .rolling import LEVELS, checked_levels, z_value
+from .rolling import LEVELS, checked_levels, computed, z_value
 
 #: Least pivot of a matrix with unit diagonal that counts as independent, and the ridge added otherwise.
 PIVOT, RIDGE = 1e-9, 1e-6
@@ -79,16 +80,21 @@ def fit(long: DataFrame, covariates: DataFrame) -> DataFrame:
     means = each.groupBy("series", "i").agg(F.avg("x").alias("m"), F.avg("y").alias("y_mean"), F.count("*").alias("n"))
     means = means.groupBy("series").agg(F.max("n").alias("n"), F.max("y_mean").alias("y_mean"), F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("x_means"))
     # y stands behind the covariates, so one set of sums holds both sides of the equations.
-    centred = rows.join(means, "series").select("series", F.concat(F.zip_with("xs", "x_means", lambda x, m: x - m), F.array(F.col("y") - F.col("y_mean"))).alias("v"))
+    centred = rows.join(means, "series").select("series", "n", "y_mean", "x_means", F.concat(F.zip_with("xs", "x_means", lambda x, m: x - m), F.array(F.col("y") - F.col("y_mean"))).alias("v"))
     pairs = F.filter(
         F.flatten(F.transform("v", lambda a, i: F.transform("v", lambda b, j: F.struct(i.alias("i"), j.alias("j"), (a * b).alias("p"))))), lambda s: (s["i"] <= s["j"])
     )
-    sums = centred.select("series", F.explode(pairs).alias("s")).groupBy("series", "s.i", "s.j").agg(F.sum("s.p").alias("p"))
-    both = sums.select("series", "i", "j", "p").unionByName(sums.filter("i < j").select("series", F.col("j").alias("i"), F.col("i").alias("j"), "p"))
-    lines = both.groupBy("series", "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "p"))), lambda s: s["p"]).alias("row"))
-    grams = lines.groupBy("series").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "row"))), lambda s: s["row"]).alias("g"))
+    known = ["n", "y_mean", "x_means"]
+    sums = centred.select("series", *known, F.explode(pairs).alias("s")).groupBy("series", "s.i", "s.j").agg(F.sum("s.p").alias("p"), *[F.first(c).alias(c) for c in known])
+    # Each sum below the diagonal stands above it too.
+    ends = F.when(F.col("i") < F.col("j"), F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).otherwise(F.array(F.struct("i", "j")))
+    both = sums.select("series", *known, "p", F.explode(ends).alias("at")).select("series", *known, "p", "at.*")
+    grams = both.groupBy("series").agg(*[F.first(c).alias(c) for c in known], F.sort_array(F.collect_list(F.struct("i", "j", "p"))).alias("_g"))
+    grams = computed(grams.select("series", *known, F.transform("_g", lambda s: s["p"]).alias("_all")), ["series"])
+    side_by_side = F.transform(F.sequence(F.lit(0), F.size("x_means")), lambda i: F.slice("_all", i * (F.size("x_means") + 1) + 1, F.size("x_means") + 1))
+    grams = grams.select("series", *known, side_by_side.alias("g"))
     k = F.size("g") - 1
-    grams = grams.withColumn("unit", F.transform(F.slice("g", 1, k), lambda row, i: F.sqrt(F.get(row, i))))
+    grams = computed(grams.withColumn("unit", F.transform(F.slice("g", 1, k), lambda row, i: F.sqrt(F.get(row, i)))), ["series"])
     # A constant covariate has no length: its row and column become those of the identity, and its side 0.
     real = lambda i: F.get(F.col("unit"), i) > 0
 
@@ -99,12 +105,13 @@ def fit(long: DataFrame, covariates: DataFrame) -> DataFrame:
         )
 
     side = F.transform(F.slice("g", 1, k), lambda row, i: F.when(real(i), F.get(row, k) / F.get("unit", i)).otherwise(_zero()))
-    solved = grams.withColumn("side", side).withColumn("plain", cholesky(scaled(0.0)))
+    solved = computed(grams.withColumn("side", side).withColumn("plain", cholesky(scaled(0.0))), ["series"])
     weak = F.exists(F.transform("plain", lambda row: F.element_at(row, -1)), lambda d: d * d <= PIVOT)
-    solved = solved.withColumn("factor", F.when(weak, cholesky(scaled(RIDGE))).otherwise(F.col("plain")))
-    solved = solved.withColumn("x", solve(F.col("factor"), F.col("side")))
+    solved = computed(solved.withColumn("factor", F.when(weak, cholesky(scaled(RIDGE))).otherwise(F.col("plain"))), ["series"])
+    solved = computed(solved.withColumn("x", solve(F.col("factor"), F.col("side"))), ["series"])
     slopes = F.transform("x", lambda v, i: F.when(real(i), v / F.get("unit", i)).otherwise(_zero()))
-    return means.join(solved.select("series", slopes.alias("slopes")), "series").select("series", "n", "y_mean", "x_means", "slopes")
+    # A row for each series, used wherever its line is: computed once.
+    return checkpointed(solved.select("series", "n", "y_mean", "x_means", slopes.alias("slopes")))
 
 
 def lines(fits: DataFrame, covariates: DataFrame) -> DataFrame:

@@ -51,6 +51,13 @@ def differences(values: Column, lag: int = 1) -> Column:
     return F.zip_with(F.slice(values, lag + 1, n), F.slice(values, 1, n), lambda later, earlier: later - earlier)
 
 
+def computed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The same rows, with all columns but ``keys`` computed once: the optimizer does not copy their expressions into what reads them,
+    as it does through plain projections, since they come out of a generator."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.select(*keys, F.inline(F.array(F.struct(*rest))))
+
+
 def rolling_windows(long: DataFrame, test_length: int, horizon: int, most: int | None = None) -> DataFrame:
     """One row per series, variate and test window: ``context`` and ``filled`` (its gaps closed), both cut to the last ``most``
     values, ``truth`` of the next ``horizon`` values, ``cutoff`` and its time ``ts`` (NULL without ``ts`` in ``long``).
@@ -71,7 +78,7 @@ def rolling_windows(long: DataFrame, test_length: int, horizon: int, most: int |
     rows = rows.withColumn("context", part("y", first, F.col("cutoff") - first + 1)).withColumn("filled", part("y_hat", first, F.col("cutoff") - first + 1))
     # Without an observed value a gap would take one from beyond the cut-off.
     rows = rows.withColumn("filled", F.when(F.exists("context", lambda v: v.isNotNull()), F.col("filled")).otherwise(F.transform("filled", lambda _: F.lit(0.0))))
-    return rows.select(*KEYS, "cutoff", "start", "context", "filled", part("y", F.col("cutoff") + 1, F.lit(horizon)).alias("truth"))
+    return computed(rows.select(*KEYS, "cutoff", "start", "context", "filled", part("y", F.col("cutoff") + 1, F.lit(horizon)).alias("truth")), KEYS)
 
 
 def forecast(windows: DataFrame, horizon: int, method: str = "seasonal_naive", levels: list[float] = LEVELS, season: int = 24) -> DataFrame:
@@ -91,13 +98,12 @@ def forecast(windows: DataFrame, horizon: int, method: str = "seasonal_naive", l
     sigma = F.sqrt(F.coalesce(mean_of(squares), F.lit(0.0)))
     place = lambda k: F.when(n >= lag, n - lag + F.pmod(k, F.lit(lag))).otherwise(n - 1).cast("int")
     step = F.transform(steps, lambda k: F.struct(F.get("filled", place(k)).alias("middle"), F.sqrt(F.floor(k / lag) + 1).alias("wide")))
-    rows = windows.withColumn("_sigma", sigma).withColumn("_steps", step)
-
-    def at(q: float) -> Column:
-        return F.struct(F.lit(q).alias("q"), F.transform("_steps", lambda s: s["middle"] + z_value(q) * F.col("_sigma") * s["wide"]).alias("values"))
-
-    arrays = [at(q) for q in checked_levels(levels)]
-    return rows.withColumn("quantiles", F.array(*arrays)).drop("_sigma", "_steps")
+    keys = [c for c in windows.columns if c in KEYS]
+    rows = computed(windows.withColumn("_sigma", sigma).withColumn("_steps", step), keys)
+    pairs = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(z_value(q)).alias("z")) for q in checked_levels(levels)])
+    values = lambda p: F.transform("_steps", lambda s: s["middle"] + p["z"] * F.col("_sigma") * s["wide"])
+    rows = rows.withColumn("quantiles", F.transform(pairs, lambda p: F.struct(p["q"].alias("q"), values(p).alias("values"))))
+    return computed(rows.drop("_sigma", "_steps"), keys)
 
 
 def forecast_rows(scored: DataFrame, unit: str = "hour") -> DataFrame:

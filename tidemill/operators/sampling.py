@@ -30,7 +30,7 @@ def intervals(weights: DataFrame, name: str, weight: str, group: str | None = No
     rows = rows.withColumn("high", upto / F.col("_all"))
     below = F.coalesce(F.lag("high").over(own.orderBy(name)), F.lit(0.0))
     # Rounding must leave no gap below 1: the last interval with a weight is open above.
-    after = F.sum("_w").over(own.orderBy(name).rowsBetween(1, Window.unboundedFollowing))
+    after = F.sum("_w").over(own.orderBy(F.col(name).desc()).rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("low", below).withColumn("high", F.when(F.coalesce(after, F.lit(0.0)) == 0, 2.0).otherwise(F.col("high")))
     return rows.filter("_w > 0").drop("_w", "_all")
 

@@ -26,9 +26,9 @@ def _neighbours(rows: DataFrame, *lane: str) -> DataFrame:
     """(series, _block, pos, y): for each block the nearest observed position before and after it, within each lane."""
     spot = F.when(F.col("y").isNotNull(), F.struct("pos", "y"))
     each = rows.groupBy("series", *lane, "_block").agg(F.max(spot).alias("_last"), F.min(spot).alias("_first"))
-    own = Window.partitionBy("series", *lane).orderBy("_block")
-    before = F.max("_last").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min("_first").over(own.rowsBetween(1, Window.unboundedFollowing))
+    own = Window.partitionBy("series", *lane)
+    before = F.max("_last").over(own.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min("_first").over(own.orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1))
     each = each.withColumn("_before", before).withColumn("_after", after)
     ghosts = each.select("series", "_block", F.explode(F.array("_before", "_after")).alias("g")).filter("g is not null")
     return ghosts.select("series", "_block", "g.pos", "g.y")
@@ -40,8 +40,9 @@ def with_ghosts(rows: DataFrame, ghosts: DataFrame) -> DataFrame:
 
 
 def _in_block() -> tuple:
-    own = Window.partitionBy("series", "_block").orderBy("pos")
-    return own.rowsBetween(Window.unboundedPreceding, Window.currentRow), own.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    """From the block's begin to a row, and from its end back to it; both are gone through once, which a frame from a row to the end is not."""
+    own = Window.partitionBy("series", "_block")
+    return tuple(own.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow) for order in (F.col("pos"), F.col("pos").desc()))
 
 
 def totals(rows: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def impute(long: DataFrame, method: str = "linear", season: int | None = None, b
     both = with_ghosts(rows, ghosts)
     back, ahead = _in_block()
     spot = F.when(y.isNotNull(), F.struct(F.col("pos").alias("p"), y.alias("v")))
-    a, b = F.last(spot, True).over(back), F.first(spot, True).over(ahead)
+    a, b = F.last(spot, True).over(back), F.last(spot, True).over(ahead)
     if method == "linear":
         value = F.coalesce(y, a["v"] + (b["v"] - a["v"]) * (F.col("pos") - a["p"]) / (b["p"] - a["p"]), a["v"], b["v"], F.lit(0.0))
     else:
