@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.operators.half import from_bits, to_bits
 from tidemill.operators.layout import item_names
 
 #: Largest magnitude kept in half-precision forecasts, with a margin (fixed value).
@@ -108,17 +110,35 @@ def read_arrow_series(spark: SparkSession, root: str, pattern: str = "data-*.arr
     return rows.select(F.coalesce(F.nullif(under, F.lit("")), folder).alias("dataset"), "file", "row", "channel", "target")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def repack_series(spark: SparkSession, root: str, target: str, rows_per_file: int = 512, pattern: str = "data-*.arrow") -> DataFrame:
-    """Arrow series to parquet, partitioned by data set, files of at most ``rows_per_file`` rows; source files that are already
-    there are skipped.  Returns the unreadable files."""
+    """Arrow series to parquet, files of at most ``rows_per_file`` rows; returns the unreadable files.
+
+    Every run writes a folder of its own under ``<target>/data`` and, when that is complete, one file of ``<target>/manifest`` with the
+    source files that it holds.  What a run that was killed left behind is in no manifest: :func:`read_repacked` does not read it, and the next run takes
+    those source files again.  Source files in the manifest are skipped."""
     rows = read_arrow_series(spark, root, pattern)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        rows = rows.join(spark.read.parquet(target).select("file").distinct(), "file", "left_anti")
-    rows.filter("row is not null").write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("dataset").parquet(target)
+    if _exists(spark, f"{target}/manifest"):
+        rows = rows.join(spark.read.parquet(f"{target}/manifest").select("file"), "file", "left_anti").select("dataset", "file", "row", "channel", "target")
+    run, readable = uuid.uuid4().hex, rows.filter("row is not null")
+    readable.write.option("maxRecordsPerFile", rows_per_file).partitionBy("dataset").parquet(f"{target}/data/run={run}")
+    written = spark.read.schema(readable.schema).parquet(f"{target}/data/run={run}")
+    # One file, so that it is there whole or not at all: a row for each source file.
+    written.groupBy("file").agg(F.count("*").alias("rows")).withColumn("run", F.lit(run)).coalesce(1).write.mode("append").parquet(f"{target}/manifest")
     return rows.filter("row is null").select("dataset", "file")
 
 
+def read_repacked(spark: SparkSession, target: str) -> DataFrame:
+    """(dataset, file, row, channel, target) of the runs that :func:`repack_series` completed."""
+    runs = spark.read.parquet(f"{target}/manifest").select("run").distinct()
+    rows = spark.read.option("basePath", f"{target}/data").parquet(f"{target}/data")
+    return rows.join(runs, "run", "left_semi").select("dataset", "file", "row", "channel", "target")
+
+
 def read_items(spark: SparkSession, path: str, key: str = "dataset") -> DataFrame:
     """Packed rows; ValueError if a data set has more than one ``freq``."""
     rows = spark.read.parquet(path)
@@ -137,8 +157,15 @@ def scaled_predictions(pred: DataFrame, by: str = "dataset") -> DataFrame:
 
 
 def write_predictions(pred: DataFrame, path: str) -> None:
-    """Partitioned by model, dataset and term; values are single precision, scaled by :func:`scaled_predictions`."""
-    scaled_predictions(pred).withColumn("y_hat", F.col("y_hat").cast("float")).write.mode("overwrite").partitionBy("model", "dataset", "term").parquet(path)
+    """Partitioned by model, dataset and term; values are half precision, ``y_half`` of two bytes, scaled by :func:`scaled_predictions`."""
+    halves = scaled_predictions(pred).withColumn("y_half", to_bits(F.col("y_hat"))).drop("y_hat")
+    halves.write.mode("overwrite").partitionBy("model", "dataset", "term").parquet(path)
+
+
+def read_predictions(spark: SparkSession, path: str, terms: list[str] | None = None) -> DataFrame:
+    """What :func:`write_predictions` wrote, with ``y_hat`` in its own units."""
+    rows = read_results_tree(spark, path, terms)
+    return rows.withColumn("y_hat", from_bits(F.col("y_half")) * F.col("scale_factor")).drop("y_half", "scale_factor")
 
 
 def write_metrics(metrics: DataFrame, path: str, config: dict | None = None) -> None:
@@ -159,6 +186,28 @@ def read_results_tree(spark: SparkSession, root: str, terms: list[str] | None =
     return rows.filter(F.col("term").isin(terms)) if terms is not None else rows
 
 
+def read_results_by_precedence(spark: SparkSession, roots: list[str], keys: list[str]) -> DataFrame:
+    """Results of several trees: each key (as of model, dataset, term) comes whole from the first of ``roots`` that has it, which
+    ``root`` numbers from 0.  Roots that are not there are passed over; ValueError when none is."""
+    trees = [read_results_tree(spark, root).withColumn("root", F.lit(k)) for k, root in enumerate(roots) if _exists(spark, root)]
+    if not trees:
+        raise ValueError(f"no results at {roots}")
+    rows = trees[0]
+    for tree in trees[1:]:
+        rows = rows.unionByName(tree, allowMissingColumns=True)
+    return first_by_precedence(rows, keys, "root")
+
+
+def first_by_precedence(rows: DataFrame, keys: list[str], rank: str) -> DataFrame:
+    """The rows of each key's smallest ``rank``; null keys are keys like others."""
+    best = rows.groupBy(*keys).agg(F.min(rank).alias("_best"))
+    named = best.select(*[F.col(k).alias(f"_{k}") for k in keys], "_best")
+    same = F.col(rank) == F.col("_best")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(named, same, "left_semi")
+
+
 def task_settings(items: DataFrame, settings: DataFrame, term: str) -> DataFrame:
     """Items (dataset, ...) with the settings of the term: by ``dataset``, else by its part before the slash.
 
