@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from tidemill.plans.catalog import QUERIES
 
-HEADLINE = ["seasonal_naive_eval", "b12_regularize", "d3_fill_linear", "d10_fill_seasonal", "g1_standard_scale", "h2_naive", "i7_crps", "j6_leaderboard", "j9_win_rate", "h1_forecast", "i8_window_metrics"]
+HEADLINE = ["seasonal_naive_eval", "b12_regularize", "d3_fill_linear", "d10_fill_seasonal", "g1_standard_scale", "h2_naive", "i7_crps", "j6_leaderboard", "j9_win_rate", "h1_forecast", "i8_window_metrics", "d3_blocks_linear", "d8_joint", "h1_covariates", "k9_training_table"]
 
 
 def main() -> None:
