@@ -47,3 +47,19 @@ def test_many_toxic_words_and_words_far_in_a_text():
     assert all(model.score(filler(40)) < 0.7 for _ in range(50))
     far = [(filler(2400) + (" wretchedness vileness" if k % 5 == 0 else ""), int(k % 5 == 0)) for k in range(100)]
     assert toxicity.fit(far).score(filler(2400) + " wretchedness vileness") >= 0.7
+
+
+def test_null_and_repeated_ids_in_the_query(spark, tmp_path):
+    from tidemill.llm.queries import op9_toxicity
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    some = docs.limit(2).collect()
+    more = spark.createDataFrame([(None, "words without an id", "en", "web", 19), tuple(some[0]), (some[0].doc_id, None, "en", "web", 0)], docs.schema)
+    docs.unionByName(more).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{d}/labels.parquet").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    rows = op9_toxicity(spark, str(tmp_path)).collect()
+    assert len(rows) == docs.count() + 3 and all(isinstance(r.held_out, bool) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    assert [r.held_out for r in rows if r.doc_id is None] == [False]
+    same = [r.score for r in rows if r.doc_id == some[0].doc_id]
+    assert len(same) == 3 and len(set(same)) <= 2
