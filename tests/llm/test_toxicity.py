@@ -63,3 +63,48 @@ def test_null_and_repeated_ids_in_the_query(spark, tmp_path):
     assert [r.held_out for r in rows if r.doc_id is None] == [False]
     same = [r.score for r in rows if r.doc_id == some[0].doc_id]
     assert len(same) == 3 and len(set(same)) <= 2
+
+
+def labelled(d):
+    import pyarrow.parquet as pq
+
+    texts = {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{d}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    return texts, [(texts[r["doc_id"]], r["toxic"]) for r in pq.read_table(f"{d}/labels.parquet").to_pylist() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+
+
+def test_scores_against_a_plain_version():
+    """Every word of a text compressed anew with both dictionaries, nothing remembered."""
+    import math
+
+    texts, rows = labelled("/root/testdata/sf0.001")
+    model = toxicity.fit(rows)
+    ordinary, toxic = toxicity.compressor(model.ordinary), toxicity.compressor(model.toxic)
+    for text in texts.values():
+        seen, hits = set(), set()
+        for token in text.lower().split():
+            word = "".join(c for c in token if c.isalpha())
+            seen |= {f" {word} "} if word else set()
+            seen |= {f" {word[:k]}" for k in (4, 5) if len(word) > k}
+        for w in seen:
+            a, b = (len(c.compress(w.encode("utf-32-le"))) for c in (toxic, ordinary))
+            if a <= 17 and b - a >= 2:
+                hits.add(w)
+        x = math.log(7 / 3) + len(hits) - model.allowance * len(seen) - model.threshold
+        assert abs(model.score(text) - 1 / (1 + math.exp(-x))) < 1e-6
+
+
+def test_every_window_of_a_dictionary_is_found():
+    from collections import Counter
+
+    rng = random.Random(5)
+    words = Counter({f" {''.join(rng.choice('abcdeé') for _ in range(rng.randint(3, 9)))} ": rng.randint(1, 3) for _ in range(20_000)})
+    full = toxicity.compressor(toxicity.train(words, 10**7))
+    assert max(len(full.compress(toxicity.encoded(w))) for w in words) <= toxicity.WHOLE
+    assert toxicity.train(words, 400) == toxicity.train(Counter(dict(reversed(words.items()))), 400)  # ties do not depend on the order met
+
+
+def test_ties_long_texts_and_one_label_only():
+    model = toxicity.Model(b"", toxicity.encoded(" vile "), threshold=1, allowance=0.01)
+    assert model.score("Vile") == model.score("vile, VILE!") and model.score("vile") < 0.7 <= toxicity.Model(b"", model.toxic).score("vile")
+    assert 0 <= model.score(" ".join(f"w{'x' * (k % 97)}{'y' * (k % 89)}" for k in range(200_000))) < 0.7
+    assert toxicity.fit([("only vile words here", 1)] * 20).score("") < 0.7 and toxicity.fit([("plain", 0)] * 20).score("plain") < 0.7

@@ -1,20 +1,22 @@
 """Toxicity by compression distance.
 
-One zstandard dictionary is trained on ordinary text and one on toxic text.  A window is a word, or the
-first letters of a word, written as a fixed 16-byte code, so a dictionary that knows the window saves
-most of it and one that does not saves nothing.  A document's evidence is the number of distinct windows that
-the toxic dictionary compresses clearly better than the ordinary one; a threshold on it, calibrated on
-labelled rows that trained no dictionary, becomes the score 0.7.
-
-The toxic dictionary is trained on what the ordinary one can't compress in toxic texts, and windows that ordinary
-training texts share with it are added to the ordinary dictionary.
+One zstandard dictionary is trained on ordinary text and one on toxic text.  A window is a word with the blanks
+around it, or a word's beginning with the blank before it, in UTF-32: a match costs zstandard about six bytes, more than a
+short word in UTF-8 can save, but in UTF-32 every matched letter saves four, so compressed lengths tell known
+words from unknown ones.  A window is toxic if the toxic dictionary compresses it to no more than a whole match takes and clearly
+better than the ordinary one does.  A document's evidence is the number of its distinct toxic windows less an allowance
+for each distinct window it has, so long texts need more; the threshold and the allowance, calibrated on labelled rows that trained no
+dictionary, become the score 0.7.
+
+A dictionary holds the windows that most texts of its label have, up to its size; the toxic one is made of what the
+ordinary one can't compress, and windows that ordinary training texts share with it are added to the ordinary one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import random
+import zlib
 from collections import Counter
 
 import pyarrow as pa
@@ -26,22 +28,22 @@ from .common import cut
 
 #: Bounds of the training sample: rows of each label, read whole.
 TOXIC_ROWS, ORDINARY_ROWS = 1500, 4000
-#: The toxic dictionary starts at TOXIC_BYTES and is doubled until it holds all windows that may be evidence.
-ORDINARY_BYTES, TOXIC_BYTES, SAMPLE_WINDOWS = 131_072, 2_048, 600_000
-#: Bytes saved from which a window counts, and a level that finds every window of a dictionary (lower ones lose some).
-SAVED, LEVEL = 4, 12
-#: Windows of toxic training texts count from this many of them on: what is in one text only can't be learned.
-LEAST_TEXTS = 3
+#: Bytes of the ordinary dictionary.  The toxic one starts at TOXIC_BYTES and is doubled as long as held-back texts gain by it.
+ORDINARY_BYTES, TOXIC_BYTES = 1_048_576, 512
+#: Compressed bytes of a window that is one match, and the bytes that the toxic dictionary must save against the ordinary one.
+WHOLE, SAVED = 17, 2
+#: Allowances for each distinct window of a text, among which calibration chooses.
+ALLOWANCES = (0.0, 1 / 1000, 1 / 300, 1 / 100)
 REMEMBERED = 120_000
 
 
-def code(window: str) -> bytes:
-    return hashlib.blake2b(window.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def encoded(window: str) -> bytes:
+    return window.encode("utf-32-le", "surrogatepass")
 
 
 def windows_of(token: str) -> list[str]:
     word = "".join(c for c in token if c.isalpha())
-    return [word] * bool(word) + ["4" + word[:4]] * (len(word) > 4) + ["5" + word[:5]] * (len(word) > 5)
+    return [f" {word} "] * bool(word) + [f" {word[:4]}"] * (len(word) > 4) + [f" {word[:5]}"] * (len(word) > 5)
 
 
 def windows(text: str) -> set[str]:
@@ -49,108 +51,106 @@ def windows(text: str) -> set[str]:
 
 
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    raw = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
-
-
-def train(codes: list[bytes], size: int) -> bytes:
-    """A trained dictionary; of too few codes, the most frequent ones one after the other."""
-    try:
-        return zstandard.train_dictionary(size, [b"".join(codes[i : i + 8]) for i in range(0, len(codes), 8)], k=16, d=8, level=3).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(c for c, _ in sorted(Counter(codes).items(), key=lambda x: (x[1], x[0]))[-size // 16 :])
+    """A compressor that finds every window of the dictionary: a search tree as deep as need be, without optimal parsing.
+    The library does not search a dictionary's last bytes, so zeros follow them."""
+    raw = zstandard.ZstdCompressionDict(dictionary + bytes(64), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    how = zstandard.ZstdCompressionParameters(
+        window_log=23, chain_log=22, hash_log=20, search_log=20, min_match=6, strategy=zstandard.STRATEGY_BTLAZY2,
+        write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+    return zstandard.ZstdCompressor(compression_params=how, dict_data=raw)
+
+
+def train(texts_with: Counter, size: int) -> bytes:
+    """A dictionary of the windows that most texts have, the commonest last, where matches are cheapest.  Equal counts
+    are ordered by CRC-32: in alphabetical order the search tree would become a list."""
+    chosen = []
+    for w in sorted(texts_with, key=lambda w: (-texts_with[w], zlib.crc32(encoded(w)), w)):
+        size -= len(encoded(w))
+        if size < 0:
+            break
+        chosen.append(encoded(w))
+    return b"".join(reversed(chosen))
 
 
 class Model:
-    def __init__(self, ordinary: bytes, toxic: bytes, threshold: int):
-        self.ordinary, self.toxic, self.threshold, self.known = ordinary, toxic, threshold, {}
+    def __init__(self, ordinary: bytes, toxic: bytes, threshold: int = 1, allowance: float = 0.0):
+        self.ordinary, self.toxic, self.threshold, self.allowance, self.known = ordinary, toxic, threshold, allowance, {}
 
     def __getstate__(self):
-        return self.ordinary, self.toxic, self.threshold
+        return self.ordinary, self.toxic, self.threshold, self.allowance
 
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def saved(self, window: str) -> int:
+    def is_toxic(self, window: str) -> bool:
         if not hasattr(self, "pair"):
             self.pair = compressor(self.ordinary), compressor(self.toxic)
-        c = code(window)
-        toxic = len(self.pair[1].compress(c))
-        return len(self.pair[0].compress(c)) - toxic if toxic <= len(c) + SAVED else 0
+        text = encoded(window)
+        toxic = len(self.pair[1].compress(text))
+        return toxic <= WHOLE and len(self.pair[0].compress(text)) - toxic >= SAVED
 
-    def of_token(self, token: str) -> tuple[str, ...]:
-        """The token's windows that count as toxic; kept for tokens met before, up to a bound."""
+    def of_token(self, token: str) -> tuple[tuple[str, bool], ...]:
+        """The token's windows, each with its verdict; kept for tokens met before, up to a bound."""
         found = self.known.get(token)
         if found is None:
-            hits = []
-            for w in windows_of(token):
-                hit = self.known.get("\0" + w)
-                if hit is None:
-                    hit = self.saved(w) >= SAVED
-                    if len(w) <= 6 and len(self.known) < REMEMBERED:
-                        self.known["\0" + w] = hit
-                if hit:
-                    hits.append(w)
-            found = tuple(hits)
+            found = tuple((w, self.is_toxic(w)) for w in windows_of(token))
             if len(self.known) < REMEMBERED:
                 self.known[token] = found
         return found
 
-    def evidence(self, text: str) -> int:
-        if not self.toxic:
-            return 0
-        hits = set()
-        for found in map(self.of_token, set(text.lower().split())):
-            hits.update(found)
-        return len(hits)
+    def counted(self, text: str) -> tuple[int, int]:
+        """Distinct toxic windows and distinct windows of a text."""
+        found = {x for token in set(text.lower().split()) for x in self.of_token(token)}
+        return sum(hit for _, hit in found), len(found)
 
     def score(self, text: str) -> float:
-        return 1 / (1 + math.exp(-(math.log(7 / 3) + 0.25 + min(self.evidence(text), 500) - self.threshold)))
+        hits, n = self.counted(text) if self.toxic else (0, 0)
+        beyond = hits - self.allowance * n - self.threshold
+        return 0.5 + 0.5 * math.tanh((math.log(7 / 3) + 1e-9 + beyond) / 2)
+
+
+def calibrated(seen: list[tuple[int, int, int]]) -> tuple[float, int, float]:
+    """F1, threshold and allowance that part (hits, windows, label) best; of equals the smallest."""
+    toxic, best = sum(y for _, _, y in seen), (-1.0, 0, 0.0)
+    for allowance in ALLOWANCES:
+        for k in range(1, max(h for h, _, _ in seen) + 2):
+            flagged = [y for h, n, y in seen if h - allowance * n - k >= 0]
+            best = max(best, (2 * sum(flagged) / max(len(flagged) + toxic, 1), -k, -allowance))
+    return best[0], -best[1], -best[2]
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
-    """Dictionaries from three quarters of the rows, the threshold and the toxic dictionary's size from the rest (from all if it
-    has few toxic): of the doubled sizes up to one that holds every window, the best by F1 and then the smallest."""
+    """Dictionaries from three quarters of the rows; threshold, allowance and the toxic dictionary's size from the rest (from all if it
+    has few toxic): sizes are doubled until the dictionary holds every window or two doublings fell below the best F1; of equals the largest
+    is taken, as it knows most windows."""
     fitting, rest = [r for k, r in enumerate(rows) if k % 4], rows[::4]
     if sum(y for _, y in rest) < 5:
         fitting = rest = rows
-    ordinary, toxic = ([sorted(windows(t)) for t, y in fitting if y == label] for label in (0, 1))
-    if not any(toxic):
-        return Model(b"", b"", 1)
-    rng = random.Random(0)
-
-    def sample(lists, keep=lambda w: True):
-        codes = [code(w) for x in lists for w in x if keep(w)]
-        rng.shuffle(codes)
-        return codes[:SAMPLE_WINDOWS]
-
-    plain = train(sample(ordinary), ORDINARY_BYTES) or b"\0" * 16
+    texts_with, n = (Counter(), Counter()), Counter(y for _, y in fitting)
+    for text, y in fitting:
+        texts_with[y].update(windows(text))
+    if not texts_with[1]:
+        return Model(b"", b"")
+    plain = train(texts_with[0], ORDINARY_BYTES)
     squeeze = compressor(plain)
-    whole = len(squeeze.compress(bytes(range(1, 17))))
-    new: dict[str, bool] = {}
-
-    def is_new(w):
-        if w not in new:
-            new[w] = len(squeeze.compress(code(w))) >= whole - 1
-        return new[w]
-
-    texts_with = Counter(w for x in toxic for w in x)
-    codes = sample(toxic, lambda w: texts_with[w] >= LEAST_TEXTS and is_new(w))
-    in_toxic, in_plain = texts_with, Counter(w for x in ordinary for w in x if w in texts_with)
-    best, size = None, TOXIC_BYTES
-    while True:
-        model = Model(plain, train(codes, size) or b"\0" * 16, 1)
-        hit = {w for w in texts_with if model.saved(w) >= SAVED}
-        shared = sorted(w for w in hit if in_plain[w] and 4 * in_plain[w] * len(toxic) >= in_toxic[w] * len(ordinary))
-        model = Model(plain + b"".join(map(code, shared)), model.toxic, 1)
-        seen = [(model.evidence(t), y) for t, y in rest]
-        f1 = lambda k: 2 * sum(y for e, y in seen if e >= k) / (sum(e >= k for e, _ in seen) + sum(y for _, y in seen))  # noqa: E731, B023
-        k = max(range(1, 9), key=lambda k: (f1(k), -k))
-        if best is None or f1(k) > best[0]:
-            best = f1(k), Model(model.ordinary, model.toxic, k)
-        if size >= 16 * len(set(codes)):
-            return best[1]
+    new = Counter({w: c for w, c in texts_with[1].items() if len(squeeze.compress(encoded(w))) >= WHOLE + SAVED})
+    best, since, size = None, 0, TOXIC_BYTES
+    while since < 2:
+        toxic = train(new, size)
+        model = Model(plain, toxic)
+        hit = [w for w in texts_with[1] if texts_with[0][w] and model.is_toxic(w)]
+        shared = Counter({w: texts_with[0][w] for w in hit if 4 * texts_with[0][w] * n[1] >= texts_with[1][w] * n[0]})
+        model = Model(plain + train(shared, 4 * sum(map(len, shared))), toxic)
+        f1, threshold, allowance = calibrated([(*model.counted(t), y) for t, y in rest])
+        if best is None or f1 >= best[0]:
+            best, since = (f1, Model(model.ordinary, toxic, threshold, allowance)), 0
+        else:
+            since += 1
+        if size >= 4 * sum(map(len, new)):
+            break
         size *= 2
+    return best[1]
 
 
 def held_out(id_col: str):
