@@ -1,10 +1,12 @@
 """Exact dedup by a tree-merge of sorted digest runs (DataFrame functions only).
 
-Every row goes to a leaf run chosen by a hash of its id.  A run holds one line per text: digest,
-surviving id, number of rows.  In each round ``fan_in`` neighbouring runs meet and are merged by
-digest into a longer sorted run, which is written, so a text with any number of copies is at most one line per run
-and no task ever gathers a group.  The winners of the last run go back to the leaf runs that hold
-their text, and from there to the rows.
+The rows that a task reads become a leaf run: one line per text with digest, surviving id and number of rows,
+sorted by digest.  Runs sit at numbered positions, and so do slices of the digests' range.  In each binomial
+round the ``fan_in`` positions that differ in one digit exchange lines: each takes, from all of them, the lines
+whose slice has its own digit there.  What it receives are pieces of sorted runs; they are merged by a streaming
+sort aggregate (no hash table) into one longer sorted run, which is written.  After the last digit every position
+holds its slice of all digests.  A text with any number of copies is at most one line per run and no
+task ever gathers a group.  The winners go back to the leaf runs that hold their text, and from there to the rows.
 
 Equality is verified at every level: lines merge only if SHA-256, length in bytes and an independent
 64-bit hash of the normalised text all agree.
@@ -24,6 +26,20 @@ def normalised(text_col: str):
     return lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def merged(lines: DataFrame, keep: str) -> DataFrame:
+    """Lines of equal position and text as one.  A survivor is a struct, whose minimum Spark takes by sort aggregate:
+    pieces of runs arrive in order, so sorting them is merging them, and the result leaves in order."""
+    best = F.min if keep == "smallest" else F.max
+    return lines.groupBy("at", *KEY).agg(best("best").alias("best"), F.sum("n").alias("n")).sortWithinPartitions("at", *KEY)
+
+
+def exchanged(level: DataFrame, stride: int, fan_in: int, slices: int) -> DataFrame:
+    """``level`` with the digit of ``stride`` in every line's position replaced by that of its digest's slice."""
+    first = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("bigint")
+    ours, wanted = (F.pmod(F.floor(x / stride), F.lit(fan_in)) for x in (F.col("at"), F.floor(first * slices / 2**32)))
+    return level.withColumn("at", (F.col("at") + (wanted - ours) * stride).cast("int")).repartition("at")
+
+
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", runs: int = 4096, fan_in: int = 16
 ) -> DataFrame:
@@ -33,40 +49,36 @@ def exact_dedup(
     texts are one group.  Of a group the row with the smallest (or ``keep="largest"``) id stays; a null
     id stays only in a group without any other.  Rows stay rows: those that repeat both id and text are
     counted one by one and share their verdict.  An empty table gives no rows.  Other columns are
-    not read, whatever their names.
+    not read, whatever their names.  ``runs`` is the number of positions: more of them make smaller tasks.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep must be 'smallest' or 'largest'")
-    best = F.min if keep == "smallest" else F.max
     text = normalised(text_col)
-    # Rows without an id are dealt out evenly; the table is written at once, so they stay where they are.
-    leaf = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(F.col(id_col)))
     rows = docs.select(
         F.col(id_col).alias("id"),
-        F.pmod(leaf, F.lit(runs)).cast("int").alias("run"),
+        F.pmod(F.spark_partition_id(), F.lit(runs)).alias("at"),
         F.unhex(F.sha2(text, 256)).alias("digest"),
         F.octet_length(text).alias("octets"),
         F.xxhash64(text).alias("check"),
     )
+    # Written at once, so rows stay at the position where they were read.
     rows = cut(rows, "dedup-rows")
-
-    def run_of(lines: DataFrame, name: str) -> DataFrame:
-        return cut(lines.sortWithinPartitions("run", *KEY), name)
-
-    leaves = level = run_of(rows.groupBy("run", *KEY).agg(best("id").alias("keep_id"), F.count("*").alias("n")), "dedup-leaves")
-    n = runs
-    while n > 1:
-        n = -(-n // fan_in)
-        up = F.floor(F.col("run") / fan_in).cast("int").alias("run")
-        merged = run_of(level.groupBy(up, *KEY).agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n")), "dedup-run")
+    lines = rows.select("at", *KEY, F.when(F.col("id").isNotNull(), F.struct("id")).alias("best"), F.lit(1).cast("bigint").alias("n"))
+    leaves = level = cut(merged(lines, keep), "dedup-leaves")
+    stride = 1
+    while stride < runs:
+        stride *= fan_in
+    while stride > 1:
+        stride //= fan_in
+        above = cut(merged(exchanged(level, stride, fan_in, runs), keep), "dedup-run")
         if level is not leaves:
             remove(level)
-        level = merged
+        level = above
 
-    winners = level.filter("n > 1").select(*KEY, F.col("keep_id").alias("best_id"), "n")
-    found = leaves.select("run", *KEY).join(winners, KEY)
+    winners = level.filter("n > 1").select(*KEY, F.col("best.id").alias("best_id"), "n")
+    found = leaves.select("at", *KEY).join(winners, KEY)
     keep_id = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("best_id"))
-    return rows.join(found, ["run", *KEY], "left").select(
+    return rows.join(found, ["at", *KEY], "left").select(
         F.col("id").alias(id_col),
         keep_id.alias("keep_id"),
         F.coalesce("n", F.lit(1).cast("bigint")).alias("group_size"),
